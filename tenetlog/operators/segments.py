@@ -24,14 +24,20 @@ def _match(left: DataFrame, right: DataFrame, keys) -> Column:
 
 
 def running_max(df: DataFrame, keys, value: Column, out: str, *, inclusive: bool = False,
-                position: str = "log_position", size: int = SEGMENT_ROWS) -> DataFrame:
-    """Greatest ``value`` among the key's earlier rows (and this row if inclusive)."""
+                position: str = "log_position", size: int = SEGMENT_ROWS,
+                base: DataFrame | None = None) -> DataFrame:
+    """Greatest ``value`` among the key's earlier rows (and this row if inclusive).
+
+    ``base``: the rows before other windows were added, for the carried part.
+    """
     keys = list(keys)
+    source = (df if base is None else base).withColumn(
+        "_segment", segment_of(F.col(position), size)).withColumn("_value", value)
     parts = df.withColumn("_segment", segment_of(F.col(position), size)).withColumn("_value", value)
     rows = Window.partitionBy(*keys, "_segment").orderBy(position).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     earlier = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (parts.groupBy(*keys, "_segment").agg(F.max("_value").alias("_top"))
+    carried = (source.groupBy(*keys, "_segment").agg(F.max("_value").alias("_top"))
                .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                        F.col("_segment").alias("_s"), F.max("_top").over(earlier).alias("_carried"))
                .where(F.col("_carried").isNotNull()))
