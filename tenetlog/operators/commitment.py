@@ -18,6 +18,7 @@ from tenetlog.operators import identity, transitions
 from tenetlog.operators.chains import hash_chain
 from tenetlog.operators.segments import SEGMENT_ROWS, running_max, segment_of
 from tenetlog.schema import COLLECTIONS, INDEX_KINDS, LogError
+from tenetlog.session import cut_lineage
 
 # Prefix of the format tags inside hashed text. Roots compare only between
 # writers that use the same namespace, so it is a parameter everywhere.
@@ -57,8 +58,8 @@ def _depths(leaves: DataFrame, keys, bucket: int):
 def _levels(leaves: DataFrame, keys, namespace: str, bucket: int):
     """Group arrays from the leaves up: [(frame with _prefix, _routes, _digests, _root)]."""
     keys = list(keys)
-    top, depths = _depths(leaves, keys, bucket)
-    rows = leaves.select(*keys, "route", "digest")
+    rows = cut_lineage(leaves.select(*keys, "route", "digest"))  # read for the sizes and for the fold
+    top, depths = _depths(rows, keys, bucket)
     rows = rows.withColumn("_depth", F.lit(0)) if depths is None else (
         rows.join(depths, keys, "left").withColumn("_depth", F.coalesce("_depth", F.lit(0))))
     fold, levels = _fold_udf(namespace), []
@@ -227,8 +228,8 @@ def root_series(upserts: DataFrame, keys, *, namespace: str = NAMESPACE, bucket:
     position segments, each starting from what earlier segments left.
     """
     keys = list(keys)
-    top, depths = _depths(upserts, keys, bucket)
-    rows = upserts.select(*keys, "log_position", "route", "digest")
+    rows = cut_lineage(upserts.select(*keys, "log_position", "route", "digest"))
+    top, depths = _depths(rows, keys, bucket)
     rows = rows.withColumn("_depth", F.lit(0)) if depths is None else (
         rows.join(depths, keys, "left").withColumn("_depth", F.coalesce("_depth", F.lit(0))))
     item = F.struct(F.col("log_position").alias("at"), "route", "digest")
@@ -360,6 +361,7 @@ def belief_versions(log: DataFrame, projector: str = "2", *, namespace: str = NA
         belief_id=C.json_string(F.col("belief_id")), lifecycle_status='"current"', predecessors="[]",
         property_id=C.json_string(F.col("property_id")), resolution_status='"no_authoritative_head"',
         subject_id=C.json_string(F.col("subject_id")), updated_at=C.json_string(F.col("recorded_at")))
+    rows = cut_lineage(rows)  # read for the chain's lengths, its texts and the result
     head = F.concat(F.lit('{"collection_roots":'), _roots_json(),
                     F.lit(f',"lineage_format":"{namespace}-belief-lineage/{projector}","predecessors":['))
     tail = F.concat(

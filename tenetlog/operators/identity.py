@@ -60,7 +60,7 @@ def claims(log: DataFrame, projector: str = "1") -> DataFrame:
                  F.from_json("ciphertext", "claims array<string>")["claims"]).otherwise(
         F.array(F.get_json_object("ciphertext", "$.claim")))
     kept = ["log_position", "chain_id", "event_id", "event_type", "occurred_at", "recorded_at", "source",
-            "source_class", "origin_type", "entity_refs", "event_hash"]
+            "source_class", "origin_type", "entity_refs", "event_hash", "alive"]
     rows = (log.where(F.col("event_type").isin(*events))
             .select(*[c for c in kept if c in log.columns], F.posexplode_outer(raw).alias("ordinal", "claim_json")))
     parsed = rows.withColumn("_c", F.from_json("claim_json", _CLAIM_TYPE))
