@@ -190,9 +190,16 @@ def transition_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pinned artifacts: a title, a status line and the text."""
+    """Documents as pinned artifacts: a title, a status line and the text.
+
+    Some state their status twice, leave a fence open, or use a markup that is
+    not a declaration: those must refuse.
+    """
     d = table(spark, sf_dir, "documents")
-    text = F.concat(F.lit("# "), F.col("source"), F.lit("\n\nStatus: "), F.col("lang"), F.lit("\n\n"), F.col("text"))
+    n = F.col("doc_id")
+    ending = (F.when(n % 11 == 3, "\n\nStatus: again\n").when(n % 13 == 5, "\n\n```\nopen\n")
+              .when(n % 17 == 2, "\n\n**Status:** bold\n").otherwise("\n\nDate: 2024-01-01\n"))
+    text = F.concat(F.lit("# "), F.col("source"), F.lit("\n\nStatus: "), F.col("lang"), F.lit("\n\n"), F.col("text"), ending)
     rows = d.select(
         F.col("doc_id").alias("n"), F.lit("library").alias("repository"),
         F.lit("0123456789abcdef0123456789abcdef01234567").alias("revision"),
