@@ -19,10 +19,6 @@ def segment_of(position: Column, size: int = SEGMENT_ROWS) -> Column:
     return F.floor((position - 1) / F.lit(size))
 
 
-def _match(left: DataFrame, right: DataFrame, keys) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def running_max(df: DataFrame, keys, value: Column, out: str, *, inclusive: bool = False,
                 position: str = "log_position", size: int = SEGMENT_ROWS,
                 base: DataFrame | None = None) -> DataFrame:
@@ -43,7 +39,7 @@ def running_max(df: DataFrame, keys, value: Column, out: str, *, inclusive: bool
                .where(F.col("_carried").isNotNull()))
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     local = parts.withColumn("_local", F.max("_value").over(rows))
-    joined = local.join(carried, reduce(lambda a, b: a & b, on) & (F.col("_segment") == F.col("_s")), "left")
+    joined = local.join(carried, reduce(lambda a, b: a & b, on, F.col("_segment") == F.col("_s")), "left")
     return (joined.withColumn(out, F.greatest("_local", "_carried"))
             .select(*df.columns, out))
 
@@ -61,7 +57,7 @@ def ordinals(df: DataFrame, keys, out: str, *, position: str = "log_position",
                .where(F.col("_before").isNotNull()))
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = parts.withColumn("_local", F.row_number().over(rows)).join(
-        carried, reduce(lambda a, b: a & b, on) & (F.col("_segment") == F.col("_s")), "left")
+        carried, reduce(lambda a, b: a & b, on, F.col("_segment") == F.col("_s")), "left")
     return (joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_before"), F.lit(0)))
             .select(*df.columns, out))
 
@@ -81,9 +77,8 @@ def neighbour(df: DataFrame, keys, columns: dict[str, str], *, forward: bool,
                             F.col("_segment").alias("_s"), step("_edge").over(along).alias("_carried"))
                .where(F.col("_carried").isNotNull()))
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    match = reduce(lambda a, b: a & b, on) if on else F.lit(True)
     local = parts.withColumn("_local", step(packed).over(rows))
-    joined = local.join(carried, match & (F.col("_segment") == F.col("_s")), "left")
+    joined = local.join(carried, reduce(lambda a, b: a & b, on, F.col("_segment") == F.col("_s")), "left")
     picked = F.coalesce("_local", "_carried")
     return joined.select(*df.columns, *[picked[out].alias(out) for out in columns])
 

@@ -155,19 +155,21 @@ def identity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_in_chain(identity_requests(spark, sf_dir))
 
 
-def transition_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transition_requests(spark: SparkSession, sf_dir: str, *, submitted: bool = False) -> DataFrame:
     """The identity log with endings: within a customer's priority, by sequence.
 
     Every 7th order expires the candidate before it, every 4th replaces it and
     every 5th corrects it. What follows an expiry is a plain observation, so the
-    log is valid. Sequences restart per block of order keys.
+    log is valid. Sequences restart per block of order keys. ``submitted=True``
+    leaves the rules in force after an expiry, so those must be refused.
     """
     o = _order_rows(spark, sf_dir)
     w = Window.partitionBy("cust", "priority", F.floor(F.col("n") / ORDER_BLOCK)).orderBy("n")
     rows = (o.withColumn("seq", F.row_number().over(w))
             .withColumn("prior_key", F.lag("key").over(w)).repartition("chain_id"))
     follows_expiry = (F.col("seq") > 7) & ((F.col("seq") - 1) % 7 == 0)
-    kind = (F.when((F.col("seq") == 1) | follows_expiry, OBSERVATION)
+    plain = (F.col("seq") == 1) if submitted else (F.col("seq") == 1) | follows_expiry
+    kind = (F.when(plain, OBSERVATION)
             .when(F.col("seq") % 7 == 0, EXPIRY)
             .when(F.col("seq") % 4 == 0, REPLACEMENT)
             .when(F.col("seq") % 5 == 0, CORRECTION).otherwise(OBSERVATION))
