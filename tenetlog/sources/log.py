@@ -158,15 +158,22 @@ def after(log: DataFrame, position: int, limit: int | None = None) -> DataFrame:
 
 
 def recorded_until(log: DataFrame, as_of: str | Column) -> DataFrame:
-    """Inclusive recorded-time cutoff, compared as instants."""
+    """Inclusive recorded-time cutoff, compared as instants.
+
+    Stored logs carry the instant as ``recorded_us``, which reaches the scan.
+    """
     cutoff = F.lit(instants.literal_us(as_of)) if isinstance(as_of, str) else instants.instant_us(as_of)
-    return log.where(instants.instant_us(F.col("recorded_at")) <= cutoff)
+    return log.where(_recorded_us(log) <= cutoff)
+
+
+def _recorded_us(log: DataFrame) -> Column:
+    return F.col("recorded_us") if "recorded_us" in log.columns else instants.instant_us(F.col("recorded_at"))
 
 
 def events_since(log: DataFrame, since: str, limit: int | None = None) -> DataFrame:
     """Envelopes recorded from a time on, in log order; ``limit`` is the report's top N."""
     start = F.lit(instants.literal_us(since, "since"))
-    rows = (log.where(instants.instant_us(F.col("recorded_at")) >= start)
+    rows = (log.where(_recorded_us(log) >= start)
             .select("log_position", *ENVELOPE_FIELDS).orderBy("log_position"))
     return rows if limit is None else rows.limit(limit)
 

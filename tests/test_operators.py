@@ -137,6 +137,18 @@ def test_identity_admission_equals_sequential(spark, sf):
     assert got == want and {"accepted", "refused", "retry"} == set(want.values())
 
 
+def test_admission_in_two_batches_equals_sequential(spark, sf):
+    from tenetlog.plans.identity_queries import _damaged
+    rows = cut_lineage(_damaged(adapt.identity_requests(spark, sf)))
+    rows = cut_lineage(rows.unionByName(rows.where("log_position % 40 = 3").withColumn("log_position", F.col("log_position") + 5000)))
+    want = _simulate(rows.orderBy("log_position").collect())
+    first = rows.where("log_position <= 900")
+    one = cut_lineage(admission.admit(first, "1"))
+    stored = cut_lineage(L.assign(admission.accepted(first, one)))
+    two = admission.admit(rows.where("log_position > 900"), "1", stored)
+    assert {r.log_position: r.status for r in one.unionByName(two).collect()} == want
+
+
 def test_clock_bounds():
     assert admission.stamp(None, LATE).recorded_at == LATE
     assert admission.stamp("2024-04-01T00:01:00Z", LATE).recorded_at == "2024-04-01T00:01:00Z"
