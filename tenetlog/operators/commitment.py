@@ -115,17 +115,18 @@ def proofs(leaves: DataFrame, asked: DataFrame, keys, *, namespace: str = NAMESP
     """Membership proof (branches from the root down) for each asked (keys, route)."""
     keys = list(keys)
     levels, _ = _levels(leaves, keys, namespace, bucket)
+    depths = levels[0].select(*keys, "_depth").distinct()
     members = asked.select(*keys, "route").distinct().join(
-        leaves.select(*keys, "route", "digest"), keys + ["route"])
-    result, prove = members.withColumn("proof", F.array().cast(_STEP)), _prove_udf(namespace)
-    for level, grouped in zip(range(len(levels) - 1, -1, -1), levels):
-        if level == 0:
-            targets = members.groupBy(*keys).agg(F.collect_list("route").alias("_asked"))
-            hit = grouped.where(F.length("_prefix") == 0).join(targets, keys)
-        else:
-            at = members.withColumn("_prefix", F.substring("route", 1, level))
-            targets = at.groupBy(*keys, "_prefix").agg(F.collect_list("route").alias("_asked"))
-            hit = grouped.where(F.length("_prefix") == level).join(targets, keys + ["_prefix"])
+        leaves.select(*keys, "route", "digest"), keys + ["route"]).join(depths, keys)
+    result, prove = members.drop("_depth").withColumn("proof", F.array().cast(_STEP)), _prove_udf(namespace)
+    top = len(levels) - 1
+    for level, grouped in zip(range(top, -1, -1), levels):
+        # A map takes part in the first frame and in those above its own split.
+        mine = members if level == top else members.where(F.col("_depth") > level)
+        groups = grouped if level == top else grouped.where(F.col("_depth") > level)
+        targets = (mine.withColumn("_prefix", F.substring("route", F.lit(1), F.least("_depth", F.lit(level))))
+                   .groupBy(*keys, "_prefix").agg(F.collect_list("route").alias("_asked")))
+        hit = groups.join(targets, keys + ["_prefix"])
         found = hit.withColumn("_p", prove("_routes", "_digests", "_asked")).select(
             *keys, F.explode(F.arrays_zip(F.col("_asked").alias("route"), F.col("_p").alias("steps"))).alias("_z")
         ).select(*keys, F.col("_z.route").alias("route"), F.col("_z.steps").alias("_steps"))

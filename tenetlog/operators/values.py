@@ -11,6 +11,7 @@ from tenetlog.operators import integrity
 from tenetlog.operators.chains import hash_chain
 from tenetlog.operators.segments import (SEGMENT_ROWS, neighbour, ordinals, running_max, segment_of)
 from tenetlog.schema import CORRECTION, OBSERVATION, RESOLUTION_BASIS, LogError
+from tenetlog.session import cut_lineage
 from tenetlog.sources.log import recorded_until, require_clean
 
 VALUE_EVENTS = (OBSERVATION, CORRECTION)
@@ -195,7 +196,7 @@ def values_as_of(log: DataFrame, requests: DataFrame) -> DataFrame:
     Requests become marks in the belief's own position order, so each row is
     compared with its predecessors only and no pair of rows is enumerated.
     """
-    placed = requests.join(positions_at(log, requests), "as_of_us", "left")
+    placed = cut_lineage(requests.join(positions_at(log, requests), "as_of_us", "left"))  # read twice
     marks = (placed.where(F.col("log_position").isNotNull()).select("belief_id", "log_position").distinct()
              .select("belief_id", (F.col("log_position") * 2 + 1).alias("at"),
                      F.lit(None).cast("struct<us:bigint,pos:bigint,value:string,event_id:string>").alias("head"),

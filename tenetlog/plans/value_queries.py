@@ -147,7 +147,7 @@ def values_as_of(spark, d):
         F.col("event_id").alias("request_id"),
         F.concat(F.lit("user:"), F.col("user_id").cast("string"), F.lit("/property:click")).alias("belief_id"),
         (F.lit(1706745600000000) + F.floor(F.col("event_id") / 3) * 1000000).alias("as_of_us"))
-    return values.values_as_of(_rows(spark, d), requests)
+    return values.values_as_of(cut_lineage(_rows(spark, d)), requests)
 
 
 @registry.add("prior_instants", W(R, """ SELECT log_position, belief_id, max(occurred_us) OVER (PARTITION BY belief_id ORDER BY log_position

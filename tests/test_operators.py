@@ -216,7 +216,8 @@ def test_full_lineage_in_plain_python(small):
 
 
 def test_proofs_and_tampering(spark):
-    rows = spark.range(200).select(F.lit("s").alias("s"), F.col("id").cast("string").alias("key"))
+    # Two maps of different sizes, so they split to different depths.
+    rows = spark.range(200).select(F.when(F.col("id") < 5, "small").otherwise("large").alias("s"), F.col("id").cast("string").alias("key"))
     leaves = cut_lineage(M.with_leaf(rows, F.col("key"), F.col("key")))
     proofs = M.proofs(leaves, leaves, ["s"], bucket=3).join(M.map_roots(leaves, ["s"], bucket=500), "s")
     cases = {"good": proofs, "root": proofs.withColumn("root", F.sha2("root", 256)),
