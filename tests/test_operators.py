@@ -219,10 +219,13 @@ def test_proofs_and_tampering(spark):
     # Two maps of different sizes, so they split to different depths.
     rows = spark.range(200).select(F.when(F.col("id") < 5, "small").otherwise("large").alias("s"), F.col("id").cast("string").alias("key"))
     leaves = cut_lineage(M.with_leaf(rows, F.col("key"), F.col("key")))
-    proofs = M.proofs(leaves, leaves, ["s"], bucket=3).join(M.map_roots(leaves, ["s"], bucket=500), "s")
+    proofs = cut_lineage(M.proofs(leaves, leaves, ["s"], bucket=3).join(M.map_roots(leaves, ["s"], bucket=500), "s")
+                         .join(leaves.select("route", "key"), "route"))
+    assert proofs.count() == 200
+    other = M.with_leaf(proofs.drop("route", "digest").withColumn("key", F.concat("key", F.lit("x"))), F.col("key"), F.col("key"))
     cases = {"good": proofs, "root": proofs.withColumn("root", F.sha2("root", 256)),
              "short": proofs.withColumn("proof", F.slice("proof", 2, 256)), "leaf": proofs.withColumn("digest", F.sha2("digest", 256)),
-             "route": proofs.withColumn("route", F.reverse("route"))}
+             "key": other}
     for name, case in cases.items():
         assert M.verify_proofs(case).where(F.col("valid") == (name != "good")).count() == 0, name
 
