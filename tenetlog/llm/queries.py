@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenetlog.llm import common, licenses, packing, sharding
+from tenetlog.llm import common, licenses, packing, quality_rules, sharding
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> tuple[str, str]:
@@ -15,11 +15,20 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes; equal texts stay together."""
     return sharding.shard_table(common.documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdict of all documents."""
+    return quality_rules.judge(common.documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and license labels of all documents."""
     return licenses.scan(common.documents(spark, sf_dir))
@@ -31,6 +40,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sharding, op9_license_scan, op10_packing)
+    f.__name__: f for f in (op4_sharding, op5_quality_rules, op9_license_scan, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
