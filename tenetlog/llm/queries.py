@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenetlog.llm import common, licenses, packing, quality_rules, sharding
+from tenetlog.llm import common, language, licenses, packing, quality_rules, rule_ensemble, sharding
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> tuple[str, str]:
@@ -19,6 +19,18 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from two thirds of the ids."""
+    remainder = common.id_remainder(F.col("doc_id"), 3)
+    return language.predict(common.documents(spark, sf_dir), remainder != 1, remainder == 1)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents, learned from four fifths of the labelled ids."""
+    remainder = common.id_remainder(F.col("doc_id"), 5)
+    return rule_ensemble.classify(common.documents(spark, sf_dir), labels(spark, sf_dir), remainder != 0, remainder == 0)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes; equal texts stay together."""
     return sharding.shard_table(common.documents(spark, sf_dir))
@@ -40,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sharding, op5_quality_rules, op9_license_scan, op10_packing)
+    f.__name__: f for f in (
+        op1_language_id, op3_quality_classifier, op4_sharding, op5_quality_rules, op9_license_scan, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
