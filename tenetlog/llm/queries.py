@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenetlog.llm import common, language, licenses, packing, quality_rules, rule_ensemble, sharding
+from tenetlog.llm import common, language, licenses, minhash, packing, quality_rules, rule_ensemble, sharding
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> tuple[str, str]:
@@ -25,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(common.documents(spark, sf_dir), remainder != 1, remainder == 1)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over four-word shingles."""
+    return minhash.cluster(common.documents(spark, sf_dir), words=4)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents, learned from four fifths of the labelled ids."""
     remainder = common.id_remainder(F.col("doc_id"), 5)
@@ -53,6 +58,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_language_id, op3_quality_classifier, op4_sharding, op5_quality_rules, op9_license_scan, op10_packing)
+        op1_language_id, op2_minhash_dedup, op3_quality_classifier, op4_sharding, op5_quality_rules, op9_license_scan, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
