@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenetlog.llm import common, language, licenses, minhash, packing, quality_rules, rule_ensemble, sharding
+from tenetlog.llm import common, language, licenses, minhash, packing, quality_rules, rule_ensemble, sharding, substrings
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> tuple[str, str]:
@@ -46,6 +46,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(common.documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeated 35-word windows cover, of all documents."""
+    return substrings.digest(common.documents(spark, sf_dir))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and license labels of all documents."""
     return licenses.scan(common.documents(spark, sf_dir))
@@ -58,6 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_language_id, op2_minhash_dedup, op3_quality_classifier, op4_sharding, op5_quality_rules, op9_license_scan, op10_packing)
+        op1_language_id, op2_minhash_dedup, op3_quality_classifier, op4_sharding, op5_quality_rules, op6_substring_dedup,
+        op9_license_scan, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
