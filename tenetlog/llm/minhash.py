@@ -190,3 +190,19 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
         (F.col("label") != F.col("_label")) & reaches(F.col("most")) & reaches(F.col("_most"))
         & reaches(F.col("n") - absent("", "_")) & reaches(F.col("_n") - absent("_", "")))
     return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: the one with the least id.
+
+    Rows without an id stay; of rows that share an id one stays.
+    """
+    removed = common.stored(cluster(docs, words).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(),
+                            "minhash-removed")
+    twice = common.stored(docs.groupBy(F.col("doc_id").cast("long").alias("_twice")).agg(F.count(F.lit(1)).alias("n"))
+                          .where("n > 1 and _twice is not null").select("_twice"), "minhash-repeated")
+    left = docs.join(removed, docs["doc_id"].cast("long") == removed["_gone"], "left_anti")
+    if twice.isEmpty():
+        return left
+    again = left["doc_id"].cast("long") == twice["_twice"]
+    return left.join(twice, again, "left_anti").unionAll(left.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenetlog.llm import common, language, licenses, minhash, packing, quality_rules, rule_ensemble, sharding, substrings
+from tenetlog.llm import (common, decontamination, language, licenses, minhash, packing, quality_rules, rule_ensemble, sharding,
+                          substrings, token_counts)
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> tuple[str, str]:
@@ -51,6 +52,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(common.documents(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of all documents."""
+    return token_counts.count_tokens(common.documents(spark, sf_dir), token_counts.byte_pieces(tokenizer_file()[0]))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, and the items."""
+    return decontamination.contaminated(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and license labels of all documents."""
     return licenses.scan(common.documents(spark, sf_dir))
@@ -64,6 +75,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_minhash_dedup, op3_quality_classifier, op4_sharding, op5_quality_rules, op6_substring_dedup,
-        op9_license_scan, op10_packing)
+        op7_token_counts, op8_decontamination, op9_license_scan, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -293,7 +293,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows, changed = find_repeats(docs, window)
     emptied = (rows.where((F.col("copies") > 1) & (F.col("n_words") >= window)).select("h1", "h2").distinct()
                .withColumn("kept", F.lit("")))
-    new = changed.select("h1", "h2", "kept").unionAll(emptied)
+    new = common.stored(changed.select("h1", "h2", "kept").unionAll(emptied), "segments-new")
     named = docs.withColumn("_h1", text_hash()[0]).withColumn("_h2", text_hash()[1])
     new = new.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("kept").alias("_kept"))
     return (named.join(new, ["_h1", "_h2"], "left").withColumn("text", F.coalesce("_kept", "text"))
