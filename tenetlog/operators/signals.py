@@ -189,9 +189,10 @@ def decode_cursor(token: str, query: dict, format_tag: str) -> dict:
     return {**body, "last_key": keys}
 
 
-def duplicate_keys(payloads: DataFrame, key: str, text: str) -> DataFrame:
-    """Payload texts that strict JSON refuses, with the reason."""
-    return (payloads.select(key, jsontext.strict_json(F.col(text)).alias("_s")).where("_s.error is not null")
-            .select(F.lit("payload").alias("check"), F.col(key).alias("location"), F.col("_s.error").alias("message")))
-
-
+def strict_refusals(payloads: DataFrame, key: str, text: str) -> DataFrame:
+    """Payload texts that strict JSON refuses: every fault with its path."""
+    judged = payloads.select(key, jsontext.strict_json(F.col(text)).alias("_s")).where("_s.error is not null")
+    whole = F.array(F.struct(F.lit("$").alias("path"), F.col("_s.error").alias("reason")))
+    return (judged.select(key, F.explode(F.coalesce("_s.faults", whole)).alias("_f"))
+            .select(F.lit("payload").alias("check"), F.col(key).alias("location"), F.col("_f.path").alias("path"),
+                    F.col("_f.reason").alias("message")))

@@ -430,14 +430,15 @@ def routes_and_keys(spark, d):
 
 
 @registry.add("strict_json_refusals", """SELECT event_id, CASE event_id%5 WHEN 1 THEN 'duplicate JSON key ''k''' WHEN 2 THEN 'nonfinite NaN'
- WHEN 3 THEN 'invalid JSON' END AS error FROM events""")
+ WHEN 3 THEN 'invalid JSON' END AS error, CASE event_id%5 WHEN 1 THEN '$.k' WHEN 2 THEN '$.k' END AS path FROM events""")
 def strict_json_refusals(spark, d):
     """Strict parsing of payload texts with duplicate keys, NaN or broken syntax."""
     n, p = F.col("event_id"), F.col("props")
-    text = (F.when(n % 5 == 1, F.concat(F.lit('{"k":1,'), F.substring(p, 2, 1000))).when(n % 5 == 2, F.lit('{"k":NaN}'))
+    text = (F.when(n % 5 == 1, F.concat(F.lit('{"k":1,'), F.expr("substring(props, 2)"))).when(n % 5 == 2, F.lit('{"k":NaN}'))
             .when(n % 5 == 3, F.concat(p, F.lit("}"))).otherwise(p))
     return adapt.table(spark, d, "events").select("event_id", text.alias("t")).select(
-        "event_id", jsontext.strict_json(F.col("t"))["error"].alias("error"))
+        "event_id", jsontext.strict_json(F.col("t")).alias("s")).select(
+        "event_id", F.col("s.error").alias("error"), F.col("s.faults")[0]["path"].alias("path"))
 
 
 @registry.add("canonical_json_texts", """SELECT event_id, '{"k":'||json_extract_string(props,'$.k')||',"t":"'||event_type||'","z":[1,2]}' AS text FROM events""")
