@@ -24,7 +24,6 @@ from tenetlog.session import cut_lineage
 # writers that use the same namespace, so it is a parameter everywhere.
 NAMESPACE = "tenet"
 BUCKET = 4_096
-FULL_LINEAGE_LIMIT = 2_000
 
 
 def leaf_digest(key: Column, value_json: Column, namespace: str = NAMESPACE) -> Column:
@@ -439,70 +438,65 @@ def log_seal(tips: DataFrame, *, namespace: str = NAMESPACE, bucket: int = BUCKE
 
 # --- projector 1: lineage over full content ---
 
-def _full_lineage_udf(namespace):
+def _content_chains(namespace):
     from bisect import bisect_left
     from hashlib import sha256
 
-    @F.pandas_udf("array<string>")
-    def chain(belief: pd.Series, subject: pd.Series, prop: pd.Series, steps: pd.Series) -> pd.Series:
-        out = []
-        for b, s, p, rows in zip(belief, subject, prop, steps):
-            sets = {"c": [], "d": [], "i": []}
-
-            def add(kind, text):
-                data, known = text.encode(), sets[kind]
-                at = bisect_left(known, data)
-                if at == len(known) or known[at] != data:
-                    known.insert(at, data)
-
-            hashes, previous = [], None
-            for row in rows:
-                for kind in ("c", "d", "i"):
-                    for text in row[kind]:
-                        add(kind, text)
-                joined = {k: b",".join(v).decode() for k, v in sets.items()}
-                before = "" if previous is None else f'{{"belief_id":{b},"view_version_hash":"{previous}"}}'
-                text = (f'{{"lineage_format":"{namespace}-belief-lineage/1","predecessors":[{before}],'
-                        f'"producing_event":{row["e"]},"projector_version":"1","result":{{"belief_id":{b},'
-                        f'"claim_candidates":[{joined["c"]}],"event_dependencies":[{joined["d"]}],'
-                        f'"identity_records":[{joined["i"]}],"lifecycle_status":"current","predecessors":[],'
-                        f'"property_id":{p},"resolution_status":"no_authoritative_head","subject_id":{s},'
-                        f'"updated_at":{row["u"]}}}}}')
-                previous = sha256(text.encode()).hexdigest()
-                hashes.append(previous)
-            out.append(hashes)
-        return pd.Series(out)
-    return chain
-
-
-def full_lineage(log: DataFrame, *, namespace: str = NAMESPACE, limit: int = FULL_LINEAGE_LIMIT) -> DataFrame:
+    def run(frames):
+        """Rows sorted by belief and position; one belief's sets are held, one step's hash is fed part by part."""
+        belief, sets, previous = None, {}, None
+        for frame in frames:
+            ended = []
+            for row in frame.itertuples(index=False):
+                if row.b != belief:
+                    if belief is not None:
+                        ended.append((name, previous))
+                    belief, name, previous, sets = row.b, row.belief_id, None, {"c": [], "d": [], "i": []}
+                for kind, known in sets.items():
+                    for text in getattr(row, kind):
+                        data = text.encode()
+                        at = bisect_left(known, data)
+                        if at == len(known) or known[at] != data:
+                            known.insert(at, data)
+                digest = sha256(f'{{"lineage_format":"{namespace}-belief-lineage/1","predecessors":['.encode())
+                if previous is not None:
+                    digest.update(f'{{"belief_id":{belief},"view_version_hash":"{previous}"}}'.encode())
+                digest.update(f'],"producing_event":{row.e},"projector_version":"1","result":{{"belief_id":{belief}'.encode())
+                for kind, label in (("c", "claim_candidates"), ("d", "event_dependencies"), ("i", "identity_records")):
+                    digest.update(f',"{label}":['.encode())
+                    for k, data in enumerate(sets[kind]):
+                        digest.update(b"," + data if k else data)
+                    digest.update(b"]")
+                digest.update(f',"lifecycle_status":"current","predecessors":[],"property_id":{row.p},"resolution_status":'
+                              f'"no_authoritative_head","subject_id":{row.s},"updated_at":{row.u}}}}}'.encode())
+                previous = digest.hexdigest()
+            yield pd.DataFrame(ended, columns=["belief_id", "view_version_hash"])
+        if belief is not None:
+            yield pd.DataFrame([(name, previous)], columns=["belief_id", "view_version_hash"])
+    return run
+
+
+def full_lineage(log: DataFrame, *, namespace: str = NAMESPACE) -> DataFrame:
     """Projector-1 lineage hash per belief.
 
-    Every step hashes the belief's whole content, so the definition itself is
-    quadratic per belief. A belief with more than ``limit`` events is refused;
-    projector 2 gives the same view with hashes of constant size.
+    Every step hashes the belief's whole content, so time is quadratic per belief by
+    definition; memory is that content once. Projector 2 gives the same view with
+    hashes of constant size.
     """
     c = identity.candidates(log, "1")
-    over = (c.select("belief_id", "log_position").distinct().groupBy("belief_id").count()
-            .where(F.col("count") > limit).limit(1).collect())
-    if over:
-        raise LogError(f"belief {over[0][0]!r} exceeds {limit} events; use projector 2 lineage")
     records = identity.mentions(log).select(
         F.col("mention_id"), identity.identity_record_json().alias("i"), identity.dependency_json().alias("ld"))
     own = log.select("log_position", identity.dependency_json().alias("d"))
     rows = (c.withColumn("c", identity.candidate_json()).join(records, "mention_id").join(own, "log_position"))
     step = rows.groupBy("belief_id", "log_position").agg(
-        F.min("subject_id").alias("subject_id"), F.min("property_id").alias("property_id"),
+        F.min(C.json_string(F.col("subject_id"))).alias("s"), F.min(C.json_string(F.col("property_id"))).alias("p"),
         F.collect_list("c").alias("c"), F.collect_set("i").alias("i"),
         F.array_distinct(F.concat(F.collect_set("ld"), F.collect_set("d"))).alias("d"),
         F.min(C.json_object(event_hash=C.json_string(F.col("event_hash")), event_id=C.json_string(F.col("event_id")))).alias("e"),
         F.min(C.json_string(F.col("recorded_at"))).alias("u"))
-    per = step.groupBy("belief_id").agg(
-        F.min("subject_id").alias("s"), F.min("property_id").alias("p"),
-        F.array_sort(F.collect_list(F.struct("log_position", "c", "d", "i", "e", "u"))).alias("steps"))
-    hashes = _full_lineage_udf(namespace)(C.json_string(F.col("belief_id")), C.json_string(F.col("s")),
-                                         C.json_string(F.col("p")), F.col("steps"))
-    return per.select("belief_id", F.element_at(hashes, -1).alias("view_version_hash"))
+    ordered = (step.withColumn("b", C.json_string(F.col("belief_id"))).repartition("belief_id")
+               .sortWithinPartitions("belief_id", "log_position"))
+    return ordered.mapInPandas(_content_chains(namespace), "belief_id string, view_version_hash string")
 
 
 def material_sizes(log: DataFrame, as_of: str, projector: str = "2") -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenetlog.functions import canonical as C, instants
 from tenetlog.operators import integrity
-from tenetlog.schema import (CORRECTION, ENVELOPE_FIELDS, MENTION, OBSERVATION, REPLACEMENT, VERIFIABILITY)
+from tenetlog.schema import (CORRECTION, ENVELOPE_FIELDS, EXPIRY, MENTION, OBSERVATION, REPLACEMENT, VERIFIABILITY)
 
-_TEXT = r'"(?:[^"\\]|\\.)*"'
+# JSON string; possessive, so long texts match without recursion.
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+NONEMPTY_TEXT = r'"(?!")[^"\\]*+(?:\\.[^"\\]*+)*+"'
 # A claim in canonical form: exactly seven members, all but the value texts.
 CLAIM_SHAPE = (r'^\{"belief_id":' + _TEXT + r',"claim_candidate_id":' + _TEXT + r',"mention_id":' + _TEXT
                + r',"property_id":' + _TEXT + r',"subject_id":' + _TEXT + r',"value":([\s\S]*),"verifiability":'
@@ -103,22 +105,39 @@ def candidates(log: DataFrame, projector: str = "1") -> DataFrame:
 
 
 def beliefs(log: DataFrame, as_of: str, projector: str = "1") -> DataFrame:
-    """Container headers: one row per belief with counts of its collections."""
+    """Container headers: one row per belief with counts of its collections.
+
+    A belief's subject and property are part of the grouping key, so filters on them
+    reach the scan; the ceiling of one container per belief is checked at admission.
+    An expiry changes the header's time and nothing else.
+    """
     c = candidates(log, projector)
-    return c.groupBy("belief_id").agg(
-        F.min("subject_id").alias("subject_id"), F.min("property_id").alias("property_id"),
+    counted = c.groupBy("belief_id", "subject_id", "property_id").agg(
         F.lit("current").alias("lifecycle_status"), F.lit("no_authoritative_head").alias("resolution_status"),
         F.count(F.lit(1)).alias("candidate_count"), F.countDistinct("event_id").alias("evidence_count"),
         F.countDistinct("mention_id").alias("identity_count"),
-        F.max_by("recorded_at", "log_position").alias("updated_at")).withColumn("projected_as_of", F.lit(as_of))
+        F.max(F.struct("log_position", "recorded_at")).alias("_last"))
+    if projector == "3":
+        ended = expiries(log).groupBy("belief_id").agg(F.max(F.struct("log_position", "recorded_at")).alias("_ended"))
+        counted = counted.join(ended, "belief_id", "left").withColumn("_last", F.greatest("_last", "_ended")).drop("_ended")
+    return (counted.withColumn("updated_at", F.col("_last.recorded_at")).drop("_last")
+            .withColumn("projected_as_of", F.lit(as_of)))
+
+
+def expiries(log: DataFrame) -> DataFrame:
+    """Expiry events with the belief they name."""
+    return (log.where(F.col("event_type") == EXPIRY)
+            .withColumn("belief_id", F.get_json_object("ciphertext", "$.belief_id")))
 
 
 def dependencies(log: DataFrame, projector: str = "1") -> DataFrame:
-    """(belief_id, event_id): a belief depends on its claims' events and on the
-    mention events behind them."""
+    """(belief_id, event_id): a belief depends on its claims' events, on the mention
+    events behind them, and on the expiries that name it."""
     r = resolved_claims(log, projector)
-    return (r.select("belief_id", F.explode(F.array("event_id", "link_event_id")).alias("event_id"))
-            .distinct())
+    found = r.select("belief_id", F.explode(F.array("event_id", "link_event_id")).alias("event_id"))
+    if projector == "3":
+        found = found.unionByName(expiries(log).select("belief_id", "event_id"))
+    return found.distinct()
 
 
 def evidence(cands: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _refs_checks(refs: Column) -> list[tuple[str, Column, str]]:
     parsed = F.from_json(refs, "array<string>")
     is_array = F.coalesce(F.json_array_length(refs) >= 0, F.lit(False))
     bad_item = F.exists(parsed, lambda r: r.isNull() | (r == ""))
-    only_texts = refs.rlike(r'^\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]$')
+    only_texts = refs.rlike(r'^\[\s*+(?:{t}\s*+(?:,\s*+{t}\s*+)*+)?+\]$'.replace("{t}", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'))
     return [
         ("entity_refs", refs.isNotNull() & ~is_array, "entity_refs must be an array"),
         ("entity_refs", refs.isNotNull() & is_array & (~only_texts | F.coalesce(bad_item, F.lit(False))),
@@ -108,8 +108,17 @@ def unpack(df: DataFrame, problems: Column, location: Column) -> DataFrame:
 
 
 def canonical_payload(exact: bool) -> Column:
-    """Payload text for hashing. Stored payloads are canonical; ``exact`` re-encodes any JSON."""
-    return jsontext.canonical_json(F.col("ciphertext")) if exact else F.col("ciphertext")
+    """Canonical form of the stored payload, whatever its spelling; hashes are over that form.
+
+    Most payloads are stored in canonical form. An expression recognises those that
+    surely are: compact, keys in order, no escapes and no fractions, whose spelling may
+    vary. Only the others go through Python. ``exact`` sends all of them.
+    """
+    text = F.col("ciphertext")
+    if exact:
+        return jsontext.canonical_json(text)
+    plain = F.coalesce((F.to_json(F.try_parse_json(text)) == text) & ~text.rlike(r'\\u|[0-9][.eE]'), F.lit(False))
+    return F.when(plain, text).otherwise(jsontext.canonical_json(F.when(~plain, text)))
 
 
 def row_violations(joined: DataFrame, *, exact: bool = False) -> DataFrame:

@@ -72,7 +72,8 @@ def read_artifacts(artifacts: DataFrame, policy: Policy, wanted: DataFrame) -> t
     bad = counts.where("n <> 1 or asked <> 1").select(
         F.lit("artifact").alias("check"), F.col("path").alias("location"),
         F.when(F.col("asked") != 1, "paths must be distinct").otherwise("outside reviewed public inputs").alias("message"))
-    return bound.join(artifacts, list(ARTIFACT)).orderBy("ordinal"), bad
+    good = bound.join(counts.where("n = 1 and asked = 1").select(*key), key, "left_semi")
+    return good.join(artifacts, list(ARTIFACT)).orderBy("ordinal"), bad
 
 
 def expand_prefixes(blobs: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +203,7 @@ def authorize(log: DataFrame, policy: Policy, projector: str, namespace: str = N
     scope_ok = (c("mention_text") == c("a_subject_scope")) & (c("link_subject_id") == c("subject_id"))
     claim_level = integrity.unpack(claims, integrity.pack([
         ("property", c("_declared").isNull(), "undeclared property"),
-        ("value", ~c("value_json").rlike(r'^"(?:[^"\\]|\\.)+"$'), "literal value must be a nonempty string"),
+        ("value", ~c("value_json").rlike(f"^{identity.NONEMPTY_TEXT}$"), "literal value must be a nonempty string"),
         ("scope", ~F.coalesce(scope_ok, F.lit(False)), "claim mention/subject does not identify the recorded artifact scope"),
         ("location", place.isNull(), "candidate/location mismatch"),
         ("location", place.isNotNull() & ~F.coalesce(span_ok, F.lit(False)), "invalid literal span"),
@@ -397,10 +398,11 @@ def report_details(log: DataFrame, asked: DataFrame, projector: str, as_of: str,
         ("association", found & ~F.coalesce((c("b_mention") == c("mention_id")) & (c("b_subject") == c("subject_id"))
                                             & (c("b_text") == c("a_subject_scope")), F.lit(False)), "association mismatch"),
         ("belief", found & ~F.coalesce((c("b1") == here) & (c("b2") == here), F.lit(False)), "containing belief mismatch"),
-        ("value", found & ~F.coalesce(c("value_json").rlike(r'^"(?:[^"\\]|\\.)+"$'), F.lit(False)), "nonliteral value"),
+        ("value", found & ~F.coalesce(c("value_json").rlike(f"^{identity.NONEMPTY_TEXT}$"), F.lit(False)), "nonliteral value"),
     ]
     bad = integrity.unpack(rows, integrity.pack(checks), c("claim_candidate_id")).unionByName(repeated)
-    good = rows.where(found).select(
+    refused = bad.select(F.col("location").alias("claim_candidate_id")).distinct()
+    good = rows.where(found).join(refused, "claim_candidate_id", "left_anti").select(
         "ordinal", "claim_candidate_id", "belief_id", "mention_id", "subject_id", "property_id",
         c("a_repository").alias("repository"), c("a_revision").alias("revision"), c("a_path").alias("path"), c("a_blob").alias("blob"),
         F.lit("artifact_at_revision_stated").alias("meaning"),

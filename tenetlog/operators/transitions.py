@@ -95,7 +95,8 @@ def transition_checks() -> list[tuple[str, Column, str]]:
     basis = F.array_sort(F.array_distinct(F.json_object_keys(F.get_json_object("ciphertext", "$.basis"))))
     kind = F.when(c("event_type") == CORRECTION, "stated_error").otherwise("stated")
     canonical_order = F.array_sort(F.transform(F.array_distinct("targets"), C.json_string))
-    texts_only = F.get_json_object("ciphertext", "$.targets").rlike(r'^\["([^"\\]|\\.)+"(,"([^"\\]|\\.)+")*\]$')
+    texts_only = F.get_json_object("ciphertext", "$.targets").rlike(
+        r"^\[{t}(?:,{t})*+\]$".replace("{t}", identity.NONEMPTY_TEXT))
     claim = F.get_json_object("ciphertext", "$.claim")
     return [
         ("fields", ~F.coalesce(own == keys, F.lit(False)), "transition requires its exact fields"),

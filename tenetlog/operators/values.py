@@ -10,12 +10,11 @@ from tenetlog.functions import instants
 from tenetlog.operators import integrity
 from tenetlog.operators.chains import hash_chain
 from tenetlog.operators.segments import (SEGMENT_ROWS, neighbour, ordinals, running_max, segment_of)
-from tenetlog.schema import CORRECTION, OBSERVATION, RESOLUTION_BASIS, LogError
+from tenetlog.schema import CORRECTION, OBSERVATION, RESOLUTION_BASIS
 from tenetlog.session import cut_lineage
 from tenetlog.sources.log import recorded_until, require_clean
 
 VALUE_EVENTS = (OBSERVATION, CORRECTION)
-ASSEMBLE_LIMIT = 100_000
 
 
 def value_events(log: DataFrame) -> DataFrame:
@@ -113,27 +112,19 @@ def lineage(log: DataFrame, as_of: str, *, seeds: DataFrame | None = None, **opt
     return chained.withColumnRenamed("chain_hash", "view_version_hash")
 
 
-def named_beliefs(log: DataFrame, as_of: str, names: DataFrame, limit: int = ASSEMBLE_LIMIT) -> DataFrame:
-    """Full rows of named beliefs, support arrays included.
+def named_beliefs(log: DataFrame, as_of: str, names: DataFrame) -> DataFrame:
+    """Full rows of named beliefs, one per position segment that holds support.
 
-    Arrays are built only for beliefs of at most ``limit`` events; a larger one
-    is refused, and its members are read from ``support`` instead.
+    In segment order the arrays of a belief's rows are its whole sets; a belief of few
+    events has one row, and no row holds more than a segment's members.
     """
     parsed = value_events(log).join(names.select("belief_id"), "belief_id", "left_semi")
     mine = log.join(parsed.select("log_position"), "log_position", "left_semi")
     heads = fold(mine, as_of).drop("undecided")
-    too_large = heads.where(F.col("support_count") > limit).limit(1).collect()
-    if too_large:
-        raise LogError(f"belief {too_large[0]['belief_id']!r} has more than {limit} events; read support rows")
-    parts = support_segments(mine, as_of)
-    arrays = parts.groupBy("belief_id").agg(F.array_sort(F.collect_list(
-        F.struct("segment", "supporting_events", "superseding_events"))).alias("s"))
-    joined = heads.join(arrays, "belief_id").join(lineage(mine, as_of), "belief_id")
+    joined = heads.join(support_segments(mine, as_of), "belief_id").join(lineage(mine, as_of), "belief_id")
     return joined.select(
-        "belief_id", "current_value", "value_occurred_at", "verification_state", "verifiability", "display_origin",
-        F.flatten(F.transform("s", lambda x: x["supporting_events"])).alias("supporting_events"),
-        F.array().cast("array<string>").alias("opposing_events"),
-        F.flatten(F.transform("s", lambda x: x["superseding_events"])).alias("superseding_events"),
+        "belief_id", "segment", "current_value", "value_occurred_at", "verification_state", "verifiability", "display_origin",
+        "supporting_events", F.array().cast("array<string>").alias("opposing_events"), "superseding_events",
         "resolution_basis", "view_version_hash", "projected_as_of", "updated_at")
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenetlog.operators import admission, audit, freshness, identity, reads, signals, transitions
+from tenetlog.operators import admission, audit, freshness, identity, integrity, reads, signals, transitions
 from tenetlog.plans import sqltext as S
 from tenetlog.plans.registry import LATE, registry
-from tenetlog.session import cut_lineage
+from tenetlog.session import cut_lineage, scratch_path
 from tenetlog.sources import adapt, log as L, store
 
 W = S.with_
@@ -78,6 +78,53 @@ def belief_containers(spark, d):
         "belief_id", "subject_id", "property_id", "candidate_count", "evidence_count", "identity_count").join(last, "belief_id")
 
 
+@registry.add("transition_beliefs", W(TK, """, t AS (SELECT 'b-'||cust||'-'||prio AS belief_id, cust, prio, n, kind, log_position FROM kinds)
+ SELECT belief_id, 's-'||min(cust) AS subject_id, min(prio) AS property_id, count(*) FILTER (kind<>'candidate_expired') AS candidate_count,
+ max(log_position) AS last_position FROM t GROUP BY belief_id"""))
+def transition_beliefs(spark, d):
+    """Headers of a log with transitions; an expiry moves their time too."""
+    log = _transitions(spark, d)
+    at = log.select("recorded_at", F.col("log_position").alias("last_position"))     # one recorded time for each position
+    return identity.beliefs(log, LATE, "3").join(at, F.col("updated_at") == F.col("recorded_at")).select(
+        "belief_id", "subject_id", "property_id", "candidate_count", "last_position")
+
+
+@registry.add("transition_dependencies", W(TK, """ SELECT 'b-'||cust||'-'||prio AS belief_id, event_id FROM kinds
+ UNION SELECT 'b-'||cust||'-'||prio, 'em-'||cust FROM kinds WHERE kind<>'candidate_expired'"""))
+def transition_dependencies(spark, d):
+    """Events each belief depends on, expiries among them."""
+    return identity.dependencies(_transitions(spark, d), "3")
+
+
+@registry.add("unsupported_publication", W(TK, """ SELECT '0' AS projector, CAST(0 AS BIGINT) AS reached, (SELECT count(*) FROM customer)
+ +(SELECT count(*) FROM kinds WHERE kind IN ('candidate_replaced','candidate_expired')) AS refused
+ UNION ALL SELECT '1', (SELECT min(log_position)-1 FROM kinds WHERE kind<>'observation_recorded'),
+ (SELECT count(*) FROM kinds WHERE kind<>'observation_recorded')"""))
+def unsupported_publication(spark, d):
+    """A log with transitions under projectors that do not support all its types: publication stops before the first."""
+    log = cut_lineage(adapt.transition_log(spark, d))
+    found = []
+    for projector in ("0", "1"):
+        kept = store.LogStore(spark, scratch_path(spark, "store"))
+        kept.write_log(log)
+        reached = kept.publish(LATE, projector)
+        refused = integrity.unsupported_events(kept.log(), reads.SUPPORTED[projector], projector)
+        found.append(refused.agg(F.lit(projector).alias("projector"), F.lit(reached).cast("long").alias("reached"), F.count(F.lit(1)).alias("refused")))
+    return found[0].unionByName(found[1])
+
+
+@registry.add("long_text_mentions", """SELECT 'm-'||doc_id AS event_id, 'accepted' AS status, 0 AS problems FROM documents""")
+def long_text_mentions(spark, d):
+    """Mentions with whole document texts pass admission."""
+    docs = adapt.table(spark, d, "documents").select(
+        F.concat(F.lit("m-"), F.col("doc_id").cast("string")).alias("mention_id"),
+        F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("subject_id"), "text", "doc_id")
+    made = L.prepare_mentions(docs, actor_id=F.lit("reader"), source_class=F.lit("corpus"), occurred_at=F.lit(LATE),
+                              event_id=F.col("mention_id")).withColumn("log_position", F.col("doc_id") + 1)
+    verdicts = admission.admit(made.select("log_position", *L.REQUEST_FIELDS, "canonical_entity_id", "ciphertext", "redacted"), "1")
+    return verdicts.select("event_id", "status", F.size("problems").alias("problems"))
+
+
 @registry.add("evidence_sets", W(CL, " SELECT belief_id, count(DISTINCT event_id) AS evidence_count FROM claims GROUP BY belief_id"))
 def evidence_sets(spark, d):
     """Distinct supporting events per belief."""
@@ -172,10 +219,10 @@ def association_refusals(spark, d):
 
 
 @registry.add("transition_admission", "WITH RECURSIVE " + (S.SUBMITTED_KINDS + """,
-r AS (SELECT cust, prio, n//65536 AS blk, seq, event_id, kind, true AS ok, true AS made FROM kinds WHERE seq=1
- UNION ALL SELECT k.cust, k.prio, k.n//65536, k.seq, k.event_id, k.kind, k.kind='observation_recorded' OR r.made,
+r AS (SELECT cust, prio, seq, event_id, kind, true AS ok, true AS made FROM kinds WHERE seq=1
+ UNION ALL SELECT k.cust, k.prio, k.seq, k.event_id, k.kind, k.kind='observation_recorded' OR r.made,
   k.kind='observation_recorded' OR (k.kind<>'candidate_expired' AND r.made) FROM kinds k JOIN r ON k.cust=r.cust AND k.prio=r.prio
-  AND k.n//65536=r.blk AND k.seq=r.seq+1)
+  AND k.seq=r.seq+1)
  SELECT event_id, CASE WHEN ok THEN 'accepted' ELSE 'refused' END AS status FROM r""").lstrip())
 def transition_admission(spark, d):
     """Admission of transitions: a refused event's candidate cannot be targeted later."""

@@ -94,7 +94,7 @@ men AS (SELECT 'm-'||c_custkey AS mention_id, 's-'||c_custkey AS subject_id, c_n
 # Sequence rules of the transition log. {follow} turns what follows an expiry
 # into a plain observation (valid log) or leaves the rule in force (submissions).
 _SEQ = ORDERS + """,
-seqd AS (SELECT *, row_number() OVER w AS seq, lag(n) OVER w AS prior FROM ord WINDOW w AS (PARTITION BY cust, prio, n//65536 ORDER BY n)),
+seqd AS (SELECT *, row_number() OVER w AS seq, lag(n) OVER w AS prior FROM ord WINDOW w AS (PARTITION BY cust, prio ORDER BY n)),
 kinds AS (SELECT *, CASE WHEN seq=1 {follow} THEN 'observation_recorded' WHEN seq%7=0 THEN 'candidate_expired'
   WHEN seq%4=0 THEN 'candidate_replaced' WHEN seq%5=0 THEN 'correction_appended' ELSE 'observation_recorded' END AS kind FROM seqd)"""
 TRANSITION_KINDS = _SEQ.replace("{follow}", "OR (seq>7 AND (seq-1)%7=0)")

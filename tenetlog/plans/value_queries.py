@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenetlog.functions import canonical as C, instants, jsontext
-from tenetlog.operators import admission, audit, freshness, integrity, intake, reads, segments, signals, values
+from tenetlog.operators import admission, audit, freshness, integrity, intake, reads, seals, segments, signals, values
 from tenetlog.plans import sqltext as S
 from tenetlog.plans.registry import AS_OF, LATE, registry
-from tenetlog.session import cut_lineage
+from tenetlog.session import cut_lineage, scratch_path
 from tenetlog.sources import adapt, log as L, store
+from tenetlog.sources.store import LogStore
 
 R, W, HL = S.VALUE_ROWS, S.with_, S.VALUE_LOG
 CUT = "recorded_us <= epoch_us(TIMESTAMP '2024-02-01 01:00:00')"
@@ -248,21 +249,65 @@ def timestamp_spellings(spark, d):
 def _corrupted(log):
     p = F.col("log_position")
     return (log.withColumn("event_hash", F.when(p % 211 == 20, F.sha2(F.lit("x"), 256)).otherwise(F.col("event_hash")))
-            .withColumn("ciphertext", F.when(p % 223 == 30, F.concat(F.col("ciphertext"), F.lit(" "))).otherwise(F.col("ciphertext")))
+            .withColumn("ciphertext", F.when(p % 223 == 30, F.concat(F.col("ciphertext"), F.lit(" ")))       # the same content
+                        .when(p % 229 == 50, F.replace(F.col("ciphertext"), F.lit('"value":"'), F.lit('"value":"x'))).otherwise(F.col("ciphertext")))
             .withColumn("source_class", F.when(p % 227 == 40, "other").otherwise(F.col("source_class"))))
 
 
 @registry.add("corrupted_log_audit", W(HL, """, bad AS (SELECT *, CASE WHEN log_position%211=20 THEN sha256('x') ELSE event_hash END AS eh FROM log)
  SELECT 'envelope_hash' AS "check", event_id AS location FROM bad WHERE log_position%211=20 OR log_position%227=40
- UNION ALL SELECT 'payload_hash', event_id FROM bad WHERE log_position%223=30
- UNION ALL SELECT 'idempotency_key', event_id FROM bad WHERE log_position%223=30
+ UNION ALL SELECT 'payload_hash', event_id FROM bad WHERE log_position%229=50 AND log_position%223<>30
+ UNION ALL SELECT 'idempotency_key', event_id FROM bad WHERE log_position%229=50 AND log_position%223<>30
  UNION ALL SELECT 'chain', b.event_id FROM bad b JOIN bad a ON a.log_position=b.log_position-1 WHERE a.log_position%211=20 AND a.chain_id=b.chain_id"""))
 def corrupted_log_audit(spark, d):
-    """Audit of a log with changed hashes, payloads and fields: exactly those are found."""
+    """Audit of a log with changed hashes, payloads and fields: exactly those are found, and no other spelling of a payload."""
     bad = L.inline(_corrupted(cut_lineage(adapt.value_log(spark, d))))
     return integrity.log_violations(bad).select("check", "location")
 
 
+@registry.add("forged_chain_audit", W(R, """ SELECT DISTINCT 'tip' AS "check", CAST((log_position-1)//64 AS VARCHAR) AS location,
+ 'chain does not end in its recorded tip' AS message FROM rows_ WHERE ((log_position-1)//64)%5=3"""))
+def forged_chain_audit(spark, d):
+    """Chains rewritten and hashed afresh: every link holds, and the recorded tips tell exactly those."""
+    requests = adapt.value_requests(spark, d)
+    log, twin = adapt.value_log(spark, d), L.assign_in_chain(requests.withColumn("source_class", F.lit("forged")))
+    forged = log.where("chain_id % 5 <> 3").unionByName(twin.where("chain_id % 5 = 3").select(*log.columns))
+    end = log.agg(F.max("log_position")).first()[0]
+    tips = cut_lineage(seals.append_tips(log, end))
+    sealed = seals.sealed(tips, 1, None)
+    found = seals.tip_violations(forged, tips).unionByName(seals.seal_violations(tips, sealed))
+    return found.unionByName(integrity.link_violations(forged))
+
+
+@registry.add("changed_seal_audit", W(R, """ SELECT 'seal' AS "check", CAST(max(log_position)//2 AS VARCHAR) AS location, 'seal does not match its tips' AS message FROM rows_
+ UNION ALL SELECT 'seal', CAST(max(log_position) AS VARCHAR), 'seal does not lead from the one before' FROM rows_
+ UNION ALL SELECT 'seal', CAST(max(log_position)//2 AS VARCHAR), 'seal does not match its contents' FROM rows_"""))
+def changed_seal_audit(spark, d):
+    """Two sealed appends, then another root and another seal for the first: both show, and so does the broken succession."""
+    log = adapt.value_log(spark, d)
+    end = log.agg(F.max("log_position")).first()[0]
+    half = end // 2
+    parts = [(log.where(F.col("log_position") <= half), half, 1), (log.where(F.col("log_position") > half), end, half + 1)]
+    tips = [cut_lineage(seals.append_tips(rows, last)) for rows, last, _ in parts]
+    first = cut_lineage(seals.sealed(tips[0], 1, None))
+    second = seals.sealed(tips[1], half + 1, first.first().seal)
+    changed = first.withColumn("root", F.sha2(F.lit("r"), 256)).withColumn("seal", F.sha2(F.lit("s"), 256))
+    return seals.seal_violations(tips[0].unionByName(tips[1]), changed.unionByName(second))
+
+
+@registry.add("verified_publication", W(R, """, n AS (SELECT max(log_position) AS n FROM rows_)
+ SELECT n//2 - 1 AS reached, n//2 AS log_position, 'envelope_hash' AS "check", 'envelope hash mismatch' AS message FROM n"""))
+def verified_publication(spark, d):
+    """A store with one changed event in the middle: publication stops before it and says why."""
+    log = cut_lineage(adapt.value_log(spark, d))
+    middle = log.agg(F.max("log_position")).first()[0] // 2
+    damaged = F.col("log_position") == middle
+    kept = LogStore(spark, scratch_path(spark, "store"))
+    kept.write_log(log.withColumn("source_class", F.when(damaged, "changed").otherwise(F.col("source_class"))))
+    reached = kept.publish(LATE, "0")
+    return kept.pending_violations(LATE, "0").select(F.lit(reached).cast("long").alias("reached"), "log_position", "check", "message")
+
+
 @registry.add("missing_payload_audit", W(R, """ SELECT event_id AS location, CASE WHEN log_position%101=5 THEN 'missing payload row'
  ELSE 'redacted payload replay is not implemented' END AS message FROM rows_ WHERE log_position%101=5 OR log_position%103=6
  UNION ALL SELECT 'ghost-'||event_id, 'orphan payload row' FROM rows_ WHERE log_position%107=7"""))

@@ -15,8 +15,6 @@ from tenetlog.sources.log import (assign_in_chain, chain_of, claim_json, mention
 START = "2024-02-01 00:00:00"
 # Offsets used to spell source times: text and minutes.
 OFFSETS = (("Z", 0), ("+00:00", 0), ("+05:45", 345), ("-05:30", -330))
-# Rows of the order table whose sequence rules are evaluated together.
-ORDER_BLOCK = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,11 +158,11 @@ def transition_requests(spark: SparkSession, sf_dir: str, *, submitted: bool = F
 
     Every 7th order expires the candidate before it, every 4th replaces it and
     every 5th corrects it. What follows an expiry is a plain observation, so the
-    log is valid. Sequences restart per block of order keys. ``submitted=True``
+    log is valid. ``submitted=True``
     leaves the rules in force after an expiry, so those must be refused.
     """
     o = _order_rows(spark, sf_dir)
-    w = Window.partitionBy("cust", "priority", F.floor(F.col("n") / ORDER_BLOCK)).orderBy("n")
+    w = Window.partitionBy("cust", "priority").orderBy("n")
     rows = (o.withColumn("seq", F.row_number().over(w))
             .withColumn("prior_key", F.lag("key").over(w)).repartition("chain_id"))
     follows_expiry = (F.col("seq") > 7) & ((F.col("seq") - 1) % 7 == 0)
