@@ -68,9 +68,9 @@ def summaries(docs: DataFrame, window: int) -> DataFrame:
                 owner, _, _, found = runs(w, window)
                 ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
                 sha = [hashlib.sha256(b" ".join(w.words_of(k))).hexdigest() for k in range(len(texts))]
-                rows = batch.take(pa.array(at))
+                rows = batch.select([0, 2, 3]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(2), rows.column(3), pa.array(np.diff(w.ranges)), pa.array(sha),
+                    [*rows.columns, pa.array(np.diff(w.ranges)), pa.array(sha),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int64)))],
                     names=[c.split()[0] for c in schema.split(", ")])
 
@@ -111,7 +111,7 @@ def segments(texts: DataFrame, window: int) -> DataFrame:
                     where, start, n, m, other, part = zip(*rows)
                     other = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) if p is not None else x
                              for p, x in zip(part, other)]
-                    source = batch.take(pa.array(where))
+                    source = batch.select([0, 1]).take(pa.array(where))      # never the text, which is long
                     yield pa.RecordBatch.from_arrays(
                         [source.column(0), source.column(1), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(m, pa.int64()),
                          pa.array(other, pa.int64()), pa.array(part, pa.binary())], names=[c.split()[0] for c in schema.split(", ")])
