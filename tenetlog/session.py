@@ -64,6 +64,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared scratch folder and read back: survives the loss of any executor.
+
+    The files are columnar, so later reads prune columns and skip by statistics, and the
+    plan is computed once. They go when the driver's JVM ends. A table that was just
+    written has no lineage to cut.
+    """
+    if getattr(df, "_written", False):
+        return df
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = True
+    return out
