@@ -392,6 +392,14 @@ def listed_subjects(spark, d):
     return signals.list_subjects(identity.entity_table(_rows(spark, d))).select("subject_id")
 
 
+@registry.add("listed_mentions", W(ME, " SELECT mention_id, text FROM men WHERE encode(mention_id)>encode('m-2') ORDER BY encode(mention_id) LIMIT 60"))
+def listed_mentions(spark, d):
+    """Report: a page of current mentions in byte order, continued after a key."""
+    log = _rows(spark, d)
+    return signals.list_mentions(identity.mention_table(log), identity.entity_table(log), lifecycle="current", page_size=60,
+                                 after=["m-2"]).select("mention_id", "text")
+
+
 @registry.add("found_mentions", W(ME, """ SELECT mention_id, text FROM men WHERE starts_with(text,'Customer#00000') AND (text>'Customer#000000010' OR
  (text='Customer#000000010' AND mention_id>'m-10')) ORDER BY encode(text), encode(mention_id) LIMIT 25"""))
 def found_mentions(spark, d):

@@ -205,6 +205,31 @@ def clamped_recording_times(spark, d):
     return admission.clamp_recorded(rows.select("log_position", "event_id", "recorded_at")).select("log_position", "recorded_at")
 
 
+@registry.add("skewed_imports", W(R, """, jit AS (SELECT log_position, event_id, recorded_us - CASE WHEN n%31=9 THEN 200 ELSE 3*(n%5) END*1000000 AS us FROM rows_),
+ t AS (SELECT *, max(us) OVER (ORDER BY log_position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tip FROM jit)
+ SELECT event_id AS location, 'tip_ahead_of_clock' AS message FROM t WHERE tip-us > 120*1000000"""))
+def skewed_imports(spark, d):
+    """Imported rows whose clock lies too far behind the running tip."""
+    behind = F.when(F.col("n") % 31 == 9, 200).otherwise((F.col("n") % 5) * 3)
+    rows = adapt.value_requests(spark, d).withColumn("recorded_at", F.date_format(
+        F.lit(adapt.START).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.floor(F.col("n") / 2) - behind).cast("decimal(18,6)")),
+        "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return admission.skewed_rows(rows.select("log_position", "event_id", "recorded_at")).select("location", "message")
+
+
+@registry.add("strict_refusal_paths", """SELECT event_id AS location, '$.k' AS path, 'duplicate JSON key ''k''' AS message FROM events WHERE event_id%4=1
+ UNION ALL SELECT event_id, '$.a[1].b', 'duplicate JSON key ''b''' FROM events WHERE event_id%4=2
+ UNION ALL SELECT event_id, '$.a[2]', 'nonfinite Infinity' FROM events WHERE event_id%4=2
+ UNION ALL SELECT event_id, '$', 'invalid JSON' FROM events WHERE event_id%4=3""")
+def strict_refusal_paths(spark, d):
+    """Every fault of payload texts with its path; two in one text are both told."""
+    n, p = F.col("event_id"), F.col("props")
+    text = (F.when(n % 4 == 1, F.concat(F.lit('{"k":1,'), F.expr("substring(props, 2)")))
+            .when(n % 4 == 2, F.concat(F.lit('{"a":[0,{"b":1,"b":'), p, F.lit('},Infinity]}'))).when(n % 4 == 3, F.concat(p, F.lit("]"))).otherwise(p))
+    rows = adapt.table(spark, d, "events").select("event_id", text.alias("t"))
+    return signals.strict_refusals(rows, "event_id", "t").select("location", "path", "message")
+
+
 _DOCUMENT = """'{'||CASE WHEN n%11=3 THEN '' ELSE '"belief_id":"'||belief_id||'",' END||CASE WHEN n%13=5 THEN '"value":7,' WHEN n%17=4 THEN ''
  ELSE '"value":"'||value||'",' END||'"verifiability":"'||CASE WHEN n%19=6 THEN 'maybe' ELSE verifiability END||'","occurred_at":"'||
  CASE WHEN n%23=7 THEN '2024-01-01T00:00:00' WHEN n%29=8 THEN 'yesterday' ELSE occurred_at END||'","source":{'||CASE WHEN n%31=9 THEN '' ELSE
