@@ -69,19 +69,33 @@ def audit_queue(scored: DataFrame, key: str, top: int) -> DataFrame:
     return scored.orderBy(F.col("priority").desc(), F.col(key)).limit(top)
 
 
+def every_day(daily: DataFrame, counts: list[str]) -> DataFrame:
+    """``daily`` with a row of zeros for each absent day between its first and last one."""
+    days = daily.agg(F.min("day").alias("first"), F.max("day").alias("last")).where("first is not null").select(
+        F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("day"))
+    return days.join(daily, "day", "left").fillna(0, counts)
+
+
 def contradiction_alerts(daily: DataFrame, multiple: float = CONTRADICTION_MULTIPLE) -> DataFrame:
     """Days whose open contradictions exceed a multiple of the week before.
 
-    ``daily``: (day, open_contradictions), one row per calendar day, so the
-    window is bounded by the calendar. Absent days are not averaged.
+    ``daily``: (day, open_contradictions). Absent days count as days without any, so a
+    gap lowers the average; the window is bounded by the calendar.
     """
     w = Window.orderBy(F.unix_date("day")).rangeBetween(-7, -1)
-    return (daily.withColumn("trailing_average", F.avg("open_contradictions").over(w))
+    return (every_day(daily, ["open_contradictions"])
+            .withColumn("trailing_average", F.avg("open_contradictions").over(w))
             .withColumn("alert", F.coalesce(F.col("open_contradictions") > F.col("trailing_average") * multiple, F.lit(False))))
 
 
-def intake_alert(false_positives: Column, intake: Column) -> Column:
-    return false_positives > intake * FALSE_POSITIVE_FRACTION
+def intake_alerts(daily: DataFrame, fraction: float = FALSE_POSITIVE_FRACTION, days: int = 7) -> DataFrame:
+    """Days on which false positives of the last ``days`` days exceed a fraction of their intake.
+
+    ``daily``: (day, false_positives, intake); absent days had neither.
+    """
+    w = Window.orderBy(F.unix_date("day")).rangeBetween(1 - days, 0)
+    wrong, taken = F.sum("false_positives").over(w), F.sum("intake").over(w)
+    return every_day(daily, ["false_positives", "intake"]).withColumn("alert", wrong > taken * fraction)
 
 
 # --- discovery ---

@@ -130,11 +130,55 @@ def import_completion(spark, d):
     return reports.completion_violations(log.where(~lost), requests).select("location")
 
 
-@registry.add("association_audit", W(DOCS, " SELECT scope AS location FROM d WHERE error IS NULL AND n%4=2 UNION ALL SELECT scope FROM d WHERE error IS NULL AND n%8=3"))
+@registry.add("association_audit", W(DOCS, """ SELECT scope AS location, 'missing retained association manifest' AS message FROM d WHERE error IS NULL AND (n%4=2 OR n%8=3)
+ UNION ALL SELECT scope, 'missing/inconsistent retained mention/subject association' FROM d WHERE error IS NULL AND n%8=3"""))
 def association_audit(spark, d):
     """Retained associations that are lost, or disagree with the log."""
     _, _, associations, log = _report_log(spark, d)
     n = F.regexp_extract("scope", r"doc/(\d+)", 1).cast("long")
     kept = associations.where(n % 4 != 2).withColumn("subject_id", F.when(n % 8 == 3, "other").otherwise(F.col("subject_id")))
-    lost = reports.lost_associations(log, kept).where(F.regexp_extract("location", r"doc/(\d+)", 1).cast("long") % 8 != 3)
-    return reports.association_violations(log, kept).unionByName(lost).select("location")
+    return reports.association_violations(log, kept).unionByName(reports.lost_associations(log, kept)).select("location", "message")
+
+
+@registry.add("definition_violations", W(DOCS, """, e AS (SELECT n, 'terms-'||lang||'/'||n||'/adr.title.literal' AS location FROM d),
+ twice AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE n%17=6)
+ SELECT location, 'unsupported property/shape/scope/report meaning' AS message FROM twice WHERE n%7=3 OR n%11=4
+ UNION ALL SELECT location, 'entry_label must be a nonempty string' FROM twice WHERE n%13=5
+ UNION ALL SELECT location, 'duplicate property/entry' FROM e WHERE n%17=6"""))
+def definition_violations(spark, d):
+    """Definition entries, one per document, with another meaning or shape, without a label, or stated twice."""
+    n, prop = F.col("n"), "adr.title.literal"
+    entries = adapt.table(spark, d, "documents").select(
+        F.col("doc_id").alias("n"), F.concat(F.lit("terms-"), "lang").alias("identity"), F.col("doc_id").cast("string").alias("version"),
+        F.lit(prop).alias("property")).select(
+        "*", F.when(n % 7 == 3, "another meaning").otherwise(reports.MEANINGS[prop]).alias("report_meaning"),
+        F.when(n % 11 == 4, "number").otherwise(reports.VALUE_SHAPE).alias("value_shape"), F.lit(reports.ARTIFACT_KIND).alias("artifact_scope"),
+        F.when(n % 13 == 5, "").otherwise("Title").alias("entry_label"), F.lit("A title").alias("entry_description"))
+    return reports.definition_violations(entries.unionByName(entries.where(n % 17 == 6))).select("location", "message")
+
+
+@registry.add("undefined_history", W(DOCS, f""", ids AS (SELECT *, {BLOB} AS blob, '0123456789abcdef0123456789abcdef01234567' AS rev FROM d WHERE error IS NULL AND n%3=0)
+ SELECT {_id('event',"'late'","'m'",'scope')} AS location FROM ids UNION ALL SELECT {_id('event',"'late'","'o'","'library'",'rev','path','blob')} FROM ids"""))
+def undefined_history(spark, d):
+    """Report events of an import under a definition that is no longer retained."""
+    scanned = cut_lineage(_scanned(spark, d))
+    policy = reports.default_policy(spark, scanned)
+    digest = [n for n in reports.DECLARATION if n not in ("identity", "version")]
+    changed = policy.entries.drop(*digest).withColumn("version", F.lit("2"))
+    digests = reports.definition_digests(changed)
+    later = reports.Policy(changed.join(digests, ["identity", "version"]), digests, policy.artifacts)
+    late = F.col("n") % 3 == 0
+    old, _ = reports.prepare_import(scanned.where(~late), policy, "run", F.lit(TIME))
+    new, _ = reports.prepare_import(scanned.where(late), later, "late", F.lit(TIME))
+    placed = dense_positions(cut_lineage(old.unionByName(new)), "order").withColumn("recorded_at", F.lit(TIME)).withColumn(
+        "chain_id", L.chain_of(F.col("log_position"))).drop("order")
+    return reports.undefined_history(L.assign_in_chain(placed), policy).select("location")
+
+
+@registry.add("manifest_violations", W(DOCS, """ SELECT path AS location FROM d WHERE n%3=0 AND n%5=1
+ UNION ALL SELECT path FROM d WHERE ((n%3=0 AND n%5<>1) OR n%3=1) AND n%7=2"""))
+def manifest_violations(spark, d):
+    """Artifacts that a rerun lost or added against the manifest of its run."""
+    a = adapt.artifacts(spark, d).drop("data")
+    return reports.manifest_violations(
+        a.where("n % 3 = 0"), a.where("n % 7 <> 2"), a.where("(n % 3 = 0 and n % 5 <> 1) or n % 3 = 1")).select("location")
