@@ -128,11 +128,6 @@ def git_blob_hash(data: Column, width: Column) -> Column:
     return F.when(width == 40, F.sha1(content)).otherwise(F.sha2(content, 256))
 
 
-def has_exact_keys(document: Column, names) -> Column:
-    keys = F.array_sort(F.array_distinct(F.json_object_keys(document)))
-    return F.coalesce(keys == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
-
-
 def route(key: Column) -> Column:
     """Routing digits of a map key: hash of the key's JSON text."""
     return sha256(json_string(key))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tenetlog.operators import commitment, identity, integrity, transitions, values
+from tenetlog.operators import identity, integrity, transitions, values
 from tenetlog.schema import MENTION, OBSERVATION, TRANSITIONS, LogError, UnsupportedError, require_projector
 from tenetlog.sources.log import inline, recorded_until, require_clean
 
@@ -131,12 +131,3 @@ def not_equivalent(log: DataFrame) -> DataFrame:
         F.lit("equivalence").alias("check"), F.col("claim_candidate_id").alias("location"),
         F.lit("transition-free candidate must be live").alias("message"))
     return differences(two, three.select(*two.columns), "claim_candidate_id", "equivalence").unionByName(dead)
-
-
-def committed_headers(log: DataFrame, as_of: str, version: str, **options) -> DataFrame:
-    return commitment.headers(commitment.belief_versions(log, version, **options), as_of)
-
-
-def scalar(df: DataFrame, column: str) -> Column | None:
-    row = df.select(column).first()
-    return None if row is None else row[0]

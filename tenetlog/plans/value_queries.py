@@ -66,6 +66,14 @@ def events_after_position(spark, d):
     return L.after(_rows(spark, d), 500).select("log_position", "event_id", "ciphertext")
 
 
+@registry.add("events_in_order", W(R, """ SELECT row_number() OVER (ORDER BY log_position) AS place, event_id FROM rows_
+ WHERE recorded_us<=epoch_us(TIMESTAMP '2024-02-01 00:20:00')"""))
+def events_in_order(spark, d):
+    """Events recorded up to a cutoff, in log order."""
+    ordered = reads.events_of(_rows(spark, d), "2024-02-01T00:20:00Z")
+    return segments.dense_positions(ordered.select("event_id", "log_position"), "log_position", "place").select("place", "event_id")
+
+
 @registry.add("retained_pairs", W(HL, """ SELECT log_position, event_id, true AS predecessor_ok FROM log
  WHERE event_type='correction_appended'"""))
 def retained_pairs(spark, d):
