@@ -538,22 +538,22 @@ def audit_priorities(spark, d):
     return signals.audit_queue(scored, "user_id", 100)
 
 
-_DAYS = """WITH c AS (SELECT CAST(ts AS DATE) AS day, event_type FROM events WHERE event_id%40<>0 AND dayofyear(CAST(ts AS DATE))%9<>4),
+_DAYS = """WITH c AS (SELECT CAST(ts AS DATE) AS day, event_type FROM events),
  d AS (SELECT CAST(k AS DATE) AS day, count(event_type) AS n, count(*) FILTER (event_type='error') AS bad
  FROM (SELECT unnest(generate_series(min(day),max(day),INTERVAL 1 DAY)) AS k FROM c) k LEFT JOIN c ON c.day=CAST(k AS DATE) GROUP BY 1)"""
 
 
 def _daily(spark, d):
-    """Events by day, without one day in nine."""
+    """Events by day."""
     day = F.to_date("ts")
-    return adapt.table(spark, d, "events").where((F.col("event_id") % 40 != 0) & (F.dayofyear(day) % 9 != 4)).groupBy(day.alias("day")).agg(
+    return adapt.table(spark, d, "events").groupBy(day.alias("day")).agg(
         F.count(F.lit(1)).alias("intake"), F.count_if(F.col("event_type") == "error").alias("bad"))
 
 
 @registry.add("contradiction_alerts", _DAYS + """ SELECT strftime(day,'%Y-%m-%d') AS day, bad AS open_contradictions,
  coalesce(bad > avg(bad) OVER (ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) * 1.1, false) AS alert FROM d""")
 def contradiction_alerts(spark, d):
-    """Days with unusually many open contradictions against the week before, over a log with absent days."""
+    """Days with unusually many open contradictions against the week before."""
     daily = _daily(spark, d).select("day", F.col("bad").alias("open_contradictions"))
     return signals.contradiction_alerts(daily, 1.1).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "open_contradictions", "alert")
 
