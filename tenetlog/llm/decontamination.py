@@ -20,7 +20,7 @@ RARE_SHARE = 0.01        # a word is rare if at most this share of the items (or
 MAP_BITS = 24            # the bit map has 2 ** MAP_BITS bits: 2 MB, whatever the benchmark's size
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
-ITEMS = "item_id long, words binary, n_words int, seeds array<long>"
+ITEMS = "row long, words binary, n_words int, seeds array<long>"
 _BREAKS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
 
@@ -29,10 +29,27 @@ def plain(text: bytes) -> bytes:
     return text.translate(_BREAKS)
 
 
+def item_rows(items: DataFrame) -> DataFrame:
+    """(row, item_id, text): a key of its own for each distinct pair of an id and a sequence of plain words.
+
+    A row without an id is left out only if its words have an id in another row, which reports them.
+    """
+    cells = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+    def words(batches):
+        for ids, texts in common.chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(
+                [b" ".join(plain(t).split()).decode() for t in texts], pa.string())], names=["item_id", "text"])
+
+    pairs = common.stored(cells.mapInArrow(words, "item_id long, text string").distinct(), "benchmark-pairs")
+    named, nameless = pairs.where("item_id is not null"), pairs.where("item_id is null")
+    rows = named.unionByName(nameless.join(named.select("text").distinct(), "text", "left_anti"))
+    return common.stored(rows.select(F.monotonically_increasing_id().alias("row"), "item_id", "text"), "benchmark-rows")
+
+
 def item_table(items: DataFrame) -> DataFrame:
-    """Words and seeds of every item; an item of fewer than ``SEED`` words has no seed and matches nothing."""
-    cells = (items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-             .where("item_id is not null"))
+    """Words and seeds of every item row; one of fewer than ``SEED`` words has no seed and matches nothing."""
+    rows = item_rows(items)
 
     def split(batches):
         for ids, texts in common.chunks(batches):
@@ -41,30 +58,30 @@ def item_table(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(ids, np.int64)[owner]), pa.array((np.arange(len(owner)) - w.ranges[owner]).astype(np.int32)),
                  pa.array(w.hashes.view(np.int64)), pa.array([w.buffer[a:b] for a, b in zip(w.starts, w.ends)], pa.binary())],
-                names=["item_id", "place", "hash", "word"])
+                names=["row", "place", "hash", "word"])
 
-    words = common.stored(cells.mapInArrow(split, "item_id long, place int, hash long, word binary"), "benchmark-words")
-    n_items = words.select("item_id").distinct().count()
-    holders = words.groupBy("hash").agg(F.countDistinct("item_id").alias("holders"))
+    words = common.stored(rows.select("row", "text").mapInArrow(split, "row long, place int, hash long, word binary"), "benchmark-words")
+    n_items = words.select("row").distinct().count()
+    holders = words.groupBy("hash").agg(F.countDistinct("row").alias("holders"))
     rare = holders.where(F.col("holders") <= max(2, int(RARE_SHARE * n_items))).select("hash", F.lit(True).alias("rare"))
     marked = words.join(rare, "hash", "left")
-    grouped = (marked.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(
+    grouped = (marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         "place", "word", "hash", F.coalesce("rare", F.lit(False)).alias("rare")))).alias("w"))
-        .select("item_id", F.col("w.word").alias("words"), F.col("w.hash").alias("hashes"), F.col("w.rare").alias("rare")))
+        .select("row", F.col("w.word").alias("words"), F.col("w.hash").alias("hashes"), F.col("w.rare").alias("rare")))
 
     def seeds(batches):
         for batch in batches:
-            rows = []
-            for item, words_, hashes, rare_ in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            out = []
+            for row, words_, hashes, rare_ in zip(*[batch.column(k).to_pylist() for k in range(4)]):
                 grams = common.gram_hashes(np.array(hashes, np.int64).view(np.uint64), SEED)
                 holds = [any(rare_[k:k + SEED]) for k in range(len(grams))]
                 chosen = grams[np.array(holds, bool)] if any(holds) else grams
-                rows.append((item, b" ".join(words_), len(words_), np.unique(chosen).view(np.int64).tolist()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
-                    pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())))], names=["item_id", "words", "n_words", "seeds"])
+                out.append((row, b" ".join(words_), len(words_), np.unique(chosen).view(np.int64).tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
+                    pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())))], names=["row", "words", "n_words", "seeds"])
 
-    return common.stored(grouped.mapInArrow(seeds, ITEMS), "benchmark-items")
+    return common.stored(grouped.mapInArrow(seeds, ITEMS).join(rows.select("row", "item_id"), "row"), "benchmark-items")
 
 
 def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,26 +169,28 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     ``score`` is the alignment score over the item's best possible one, at least
     ``threshold``; the place counts plain words. Null or empty texts hold nothing; rows of
     one id count as one document and give one row per item, the best; items of fewer
-    than three words match nothing. Null ids are reported as null.
+    than three words match nothing. Each text of an ``item_id`` that occurs more than once is
+    an item of its own, reported under that id. Null ids are reported as null; so are items
+    without an id, unless the same words have one.
     """
     spark: SparkSession = docs.sparkSession
     table = item_table(items)
-    seeds = table.select("item_id", F.explode("seeds").alias("seed"))
+    seeds = table.select("row", F.explode("seeds").alias("seed"))
     reach = table.agg(F.max("n_words")).first()[0] or 1
     found = passages(docs, bit_map(seeds.select("seed").distinct()), reach)
     found = common.stored(found.withColumn("passage", F.monotonically_increasing_id()), "benchmark-passages")
     met = (found.select("passage", F.explode("seeds").alias("seed")).join(seeds, "seed")
-           .select("passage", "item_id").distinct())
+           .select("passage", "row").distinct())
     pairs = (met.join(found.select("passage", "doc_id", "first", "words"), "passage")
-             .join(table.select("item_id", F.col("words").alias("item")), "item_id"))
+             .join(table.select("row", "item_id", F.col("words").alias("item")), "row"))
     schema = "doc_id long, item_id long, score double, first_word long, n_words long"
 
     def run(batches):
         known: dict = {}
         for batch in batches:
             rows = []
-            for doc, item_id, first, words, item in zip(*[batch.column(k).to_pylist() for k in range(5)]):
-                key = (item_id, words)
+            for doc, row, item_id, first, words, item in zip(*[batch.column(k).to_pylist() for k in range(6)]):
+                key = (row, words)
                 if key not in known:
                     if len(known) > 10_000:
                         known.clear()
@@ -183,7 +202,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
                     pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=[c.split()[0] for c in schema.split(", ")])
 
-    hits = pairs.select("doc_id", "item_id", "first", "words", "item").mapInArrow(run, schema)
+    hits = pairs.select("doc_id", "row", "item_id", "first", "words", "item").mapInArrow(run, schema)
     best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("at"), "n_words")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", (-F.col("b.at")).alias("first_word"), "b.n_words")
 

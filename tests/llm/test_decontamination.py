@@ -70,6 +70,17 @@ def test_repeated_rows_null_ids_and_empty_tables(docs_of, items):
     assert dc.contaminated(docs_of(texts), table.limit(0)).count() == 0
 
 
+def test_clashing_and_null_item_ids(spark, docs_of, items):
+    texts, _ = items
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0].upper() + "!"), (2, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[4]),
+            (5, texts[5]), (None, texts[5])]
+    table = spark.createDataFrame(rows, "item_id long, text string")
+    docs = docs_of([*texts[:6], texts[6], f"{texts[1]} {texts[2]}"])
+    found = dc.contaminated(docs, table).collect()
+    assert sorted((r.doc_id, r.item_id or 0) for r in found) == [(0, 1), (1, 2), (2, 2), (3, 0), (4, 0), (5, 5), (7, 2)]
+    assert all(r.score == 1 for r in found) and [r.doc_id for r in dc.without_leaks(docs, table).collect()] == [6]
+
+
 def test_given_documents_equal_brute_force(spark):
     docs, items = (spark.read.parquet(f"{MEDIUM}/{t}.parquet") for t in ("documents", "benchmark"))
     bench = {r.item_id: dc.plain(r.text.encode()).split() for r in items.collect()}
