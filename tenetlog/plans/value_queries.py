@@ -23,17 +23,31 @@ FOLD = f"""SELECT belief_id, arg_max(value,{{'i':occurred_us,'p':log_position}})
   THEN 'correction supersedes prior value (Inv. 6 superseding event)' ELSE 'direct observation (world-oracle class, Inv. 4)' END AS resolution_basis,
  '{AS_OF}' AS projected_as_of, arg_max(recorded_at,log_position) AS updated_at"""
 
+WHOLE_FOLD = FOLD.replace(f"'{AS_OF}'", "(SELECT max(recorded_at) FROM rows_)")
+
 
 def _rows(spark, d, **kw):
     return adapt.value_requests(spark, d, **kw).drop("n", "belief_id", "value", "verifiability")
 
 
+def _end(rows):
+    """Recorded time of the last event: a cutoff that grows with the table."""
+    return rows.agg(F.max("recorded_at")).first()[0] or LATE
+
+
 @registry.add("current_values", W(R, f" {FOLD} FROM rows_ WHERE {CUT} GROUP BY belief_id"))
 def current_values(spark, d):
     """Value, state, basis and support counts of every belief at a recorded-time cutoff."""
     return values.fold(_rows(spark, d), AS_OF).drop("undecided")
 
 
+@registry.add("current_values_whole", W(R, f" {WHOLE_FOLD} FROM rows_ GROUP BY belief_id"))
+def current_values_whole(spark, d):
+    """The value view at the table's last recorded time."""
+    rows = _rows(spark, d)
+    return values.fold(rows, _end(rows)).drop("undecided")
+
+
 @registry.add("current_values_with_lineage", W(HL, f""" {FOLD},
  list_reduce(list(event_hash ORDER BY log_position), lambda a,x: sha256(a||x), '') AS view_version_hash
  FROM log WHERE {CUT} GROUP BY belief_id"""))
@@ -43,6 +57,16 @@ def current_values_with_lineage(spark, d):
     return values.fold(log, AS_OF).drop("undecided").join(values.lineage(log, AS_OF), "belief_id")
 
 
+@registry.add("current_values_with_lineage_whole", W(HL, f""" {WHOLE_FOLD},
+ list_reduce(list(event_hash ORDER BY log_position), lambda a,x: sha256(a||x), '') AS view_version_hash
+ FROM log GROUP BY belief_id"""))
+def current_values_with_lineage_whole(spark, d):
+    """The value view and its hash lineage at the table's last recorded time."""
+    log = cut_lineage(adapt.value_log(spark, d))
+    end = _end(log)
+    return values.fold(log, end).drop("undecided").join(values.lineage(log, end), "belief_id")
+
+
 @registry.add("log_with_payloads", W(HL, """ SELECT log_position, event_id, event_type, recorded_at, payload_hash, prev_event_hash,
  event_hash, ciphertext FROM log"""))
 def log_with_payloads(spark, d):
@@ -74,6 +98,14 @@ def events_in_order(spark, d):
     return segments.dense_positions(ordered.select("event_id", "log_position"), "log_position", "place").select("place", "event_id")
 
 
+@registry.add("events_in_order_whole", W(R, " SELECT row_number() OVER (ORDER BY log_position) AS place, event_id FROM rows_"))
+def events_in_order_whole(spark, d):
+    """All events of the table in log order."""
+    rows = _rows(spark, d)
+    ordered = reads.events_of(rows, _end(rows))
+    return segments.dense_positions(ordered.select("event_id", "log_position"), "log_position", "place").select("place", "event_id")
+
+
 @registry.add("retained_pairs", W(HL, """ SELECT log_position, event_id, true AS predecessor_ok FROM log
  WHERE event_type='correction_appended'"""))
 def retained_pairs(spark, d):
@@ -114,6 +146,14 @@ def support_members(spark, d):
     return values.support(_rows(spark, d), AS_OF)
 
 
+@registry.add("support_members_whole", W(R, """ SELECT belief_id, row_number() OVER (PARTITION BY belief_id ORDER BY log_position) AS ordinal,
+ log_position, event_id, event_type='correction_appended' AS superseding FROM rows_"""))
+def support_members_whole(spark, d):
+    """Support set of every belief over the whole table, one row per member."""
+    rows = _rows(spark, d)
+    return values.support(rows, _end(rows))
+
+
 @registry.add("support_arrays", W(R, f""" SELECT belief_id, (log_position-1)//65536 AS segment,
  array_to_string(list(event_id ORDER BY log_position),' ') AS supporting,
  coalesce(array_to_string(list(event_id ORDER BY log_position) FILTER (event_type='correction_appended'),' '),'') AS superseding
@@ -125,6 +165,18 @@ def support_arrays(spark, d):
                        F.array_join("superseding_events", " ").alias("superseding"))
 
 
+@registry.add("support_arrays_whole", W(R, """ SELECT belief_id, (log_position-1)//65536 AS segment,
+ array_to_string(list(event_id ORDER BY log_position),' ') AS supporting,
+ coalesce(array_to_string(list(event_id ORDER BY log_position) FILTER (event_type='correction_appended'),' '),'') AS superseding
+ FROM rows_ GROUP BY belief_id, segment"""))
+def support_arrays_whole(spark, d):
+    """Support and superseding arrays over the whole table, per belief and position segment."""
+    log = _rows(spark, d)
+    rows = values.support_segments(log, _end(log))
+    return rows.select("belief_id", "segment", F.array_join("supporting_events", " ").alias("supporting"),
+                       F.array_join("superseding_events", " ").alias("superseding"))
+
+
 @registry.add("belief_lineage", W(HL, """ SELECT belief_id,
  list_reduce(list(event_hash ORDER BY log_position), lambda a,x: sha256(a||x), '') AS view_version_hash FROM log GROUP BY belief_id"""))
 def belief_lineage(spark, d):
