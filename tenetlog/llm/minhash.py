@@ -129,7 +129,8 @@ def cluster(docs: DataFrame, words: int = 4) -> DataFrame:
 
     Null and empty texts, and texts without words, have no shingles and stay alone. Rows
     of one id count as one document. ``component_id`` is the least id reachable over links;
-    ``links``: links of the row's shingle set to other sets. An empty table gives no rows.
+    ``links``: verified links of the row's shingle set that were used for its component, not
+    all its near copies: three mutual copies give 2, 1, 1. An empty table gives no rows.
     """
     rows = common.stored(signatures(docs, words), "minhash-signatures")
     filled = rows.where("n_shingles > 0 and doc_id is not null")
