@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenetlog.llm import (common, decontamination, language, licenses, minhash, packing, quality_rules, rule_ensemble, sharding,
-                          substrings, token_counts)
+from tenetlog.llm import (common, decontamination, html_text, language, licenses, minhash, packing, quality_rules, rule_ensemble,
+                          sharding, spelling, substrings, token_counts, whitening)
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> tuple[str, str]:
@@ -72,9 +72,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_table(common.documents(spark, sf_dir), *tokenizer_file())
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(common.prepared(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of all embeddings."""
+    return whitening.whiten(common.prepared(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_minhash_dedup, op3_quality_classifier, op4_sharding, op5_quality_rules, op6_substring_dedup,
-        op7_token_counts, op8_decontamination, op9_license_scan, op10_packing)
+        op7_token_counts, op8_decontamination, op9_license_scan, op10_packing, op11_html_extraction, op12_embedding_whitening,
+        op13_spelling_variants)
 }
 ORACLE_SQL: dict[str, str] = {}
