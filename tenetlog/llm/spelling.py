@@ -23,14 +23,15 @@ from tenetlog.llm import common
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 DIMENSIONS = 32             # a to z, and six for all other letters together
-CELL_WORDS = 2_000          # words a cell is meant to hold
+CELL_WORDS = 8_000          # words a cell is meant to hold
 LEVELS = 10                 # of splits in a length's tree, at most; deeper search happens inside a cell
 SAMPLE_WORDS = 20_000       # words of a length that choose its splits, about; all words are dealt by them
-FULL_CELL = 50_000          # words of a cell that are compared in one task
+FULL_CELL = 400_000         # words and queries of a cell that are compared in one task
 LEAF = 16                   # letter counts in a leaf of a cell's own tree
 QUERIES = 2_000             # queries of a cell that descend together
 _PENDING = 200_000          # distinct words a task counts before it hands them on
 _WIDE_WORD = 64             # longer words are compared one by one instead of as rows of a matrix
+_BYTE_SUM = np.uint64(0x0101010101010101)
 
 
 # --- words ---
@@ -72,16 +73,37 @@ def counted(docs: DataFrame, least_length: int = 7, least_count: int = 2, every:
 
 
 def letter_counts(words: list[str]) -> np.ndarray:
-    """One row of ``DIMENSIONS`` counts per word. Letters that share a dimension only shorten distances."""
-    out = np.zeros((len(words), DIMENSIONS), np.int32)
-    if not words:
-        return out
+    """One row of ``DIMENSIONS`` counts per word, in bytes unless a word is very long.
+
+    Letters that share a dimension only shorten distances.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    kind = np.int8 if lengths.max(initial=0) <= 100 else np.int32
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     letter = points - ord("a")
     other = (letter < 0) | (letter >= 26)
     letter[other] = 26 + points[other] % (DIMENSIONS - 26)
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    return np.bincount(owner * DIMENSIONS + letter, minlength=out.size).reshape(out.shape).astype(np.int32)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    return np.bincount(owner * DIMENSIONS + letter, minlength=len(words) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(kind)
+
+
+def excess(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row, how many letters ``a`` has above ``b`` in all."""
+    over = np.maximum(a - b, 0)
+    if over.dtype != np.int8:
+        return over.sum(1)
+    # A row's total is below 128, so eight bytes can be added at once without a carry.
+    eight = over.view(np.uint64)
+    return ((eight[:, 0] + eight[:, 1] + eight[:, 2] + eight[:, 3]) * _BYTE_SUM) >> np.uint64(56)
+
+
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows; row numbers in the order of their group; where each group starts in that order, and the end."""
+    whole = np.ascontiguousarray(x).view(np.uint64)
+    order = np.lexsort(whole.T)
+    fresh = np.append(True, (whole[order[1:]] != whole[order[:-1]]).any(1))
+    starts = np.flatnonzero(fresh)
+    return x[order[starts]], order, np.append(starts, len(x))
 
 
 # --- the tree that deals words to cells ---
@@ -131,11 +153,12 @@ def own_cell(tree: Tree, x: np.ndarray) -> np.ndarray:
 
 def cells_in_reach(tree: Tree, x: np.ndarray, more: int, less: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) for all cells with counts that have at most so many letters more and so many less."""
-    rows, cells = [], []
-    lows, highs = np.zeros((len(x), DIMENSIONS), np.int32), np.full((len(x), DIMENSIONS), 2**30, np.int32)
-    todo = [(tree, np.arange(len(x)), lows, highs)]
+    rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    none = np.zeros(len(x), np.int32)
+    # A node, its bounds by dimension, the rows that reach it, and the letters each must gain and lose to get there.
+    todo = [(tree, {}, {}, np.arange(len(x)), none, none)]
     while todo:
-        node, at, low, high = todo.pop()
+        node, low, high, at, gained, lost = todo.pop()
         if not len(at):
             continue
         if not isinstance(node, tuple):
@@ -143,16 +166,14 @@ def cells_in_reach(tree: Tree, x: np.ndarray, more: int, less: int) -> tuple[np.
             cells.append(np.full(len(at), node, np.int32))
             continue
         k, bound, left, right = node
-        for child, is_low in ((left, True), (right, False)):
-            down, up = low.copy(), high.copy()
-            if is_low:
-                up[:, k] = np.minimum(up[:, k], bound)
-            else:
-                down[:, k] = np.maximum(down[:, k], bound + 1)
-            q = x[at]
-            near = (np.maximum(down - q, 0).sum(1) <= more) & (np.maximum(q - up, 0).sum(1) <= less)
-            todo.append((child, at[near], down[near], up[near]))
-    return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        q = x[at, k].astype(np.int32)
+        fewer = lost + np.maximum(q - bound, 0) - np.maximum(q - high.get(k, 2**30), 0)
+        near = fewer <= less
+        todo.append((left, low, high | {k: bound}, at[near], gained[near], fewer[near]))
+        further = gained + np.maximum(bound + 1 - q, 0) - np.maximum(low.get(k, 0) - q, 0)
+        near = further <= more
+        todo.append((right, low | {k: bound + 1}, high, at[near], further[near], lost[near]))
+    return np.concatenate(rows), np.concatenate(cells)
 
 
 def fit_trees(vocabulary: DataFrame) -> dict[int, Tree]:
@@ -223,14 +244,25 @@ class Boxes:
         self.spans.append((start, end))
         self.children.append((-1, -1))
         if end - start > LEAF:
-            middle = (end - start) // 2
-            self.order[start:end] = self.order[start:end][np.argpartition(part[:, int((high - low).argmax())], middle)]
-            self.children[node] = (self._grow(start, start + middle), self._grow(start + middle, end))
+            # The most even split between two counts of one letter, so that the two boxes do not touch.
+            bounds = np.unique(np.quantile(np.arange(int(low.min()), int(high.max())), np.linspace(0, 1, 8), method="nearest"))
+            below = np.array([(part <= b).sum(0) for b in bounds])
+            uneven = np.where((below > 0) & (below < len(part)), np.abs(2 * below - len(part)), 2 * len(part))
+            b, k = np.unravel_index(uneven.argmin(), uneven.shape)
+            if uneven[b, k] == 2 * len(part):       # counts too far apart for these bounds
+                k = int((high - low).argmax())
+                goes = part[:, k] < high[k]
+            else:
+                goes = part[:, k] <= bounds[b]
+            members = self.order[start:end]
+            self.order[start:end] = np.concatenate((members[goes], members[~goes]))
+            middle = start + int(goes.sum())
+            self.children[node] = (self._grow(start, middle), self._grow(middle, end))
         return node
 
     def within(self, queries: np.ndarray, more: int, less: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (query, row) with at most so many letters more and so many less."""
-        reach = lambda q, low, high: ((np.maximum(low - q, 0).sum(1) <= more) & (np.maximum(q - high, 0).sum(1) <= less))
+        reach = lambda q, low, high: (excess(low, q) <= more) & (excess(q, high) <= less)
         for first in range(0, len(queries), QUERIES):
             at = np.arange(first, min(first + QUERIES, len(queries)))
             node = np.zeros(len(at), np.int64)
@@ -256,25 +288,30 @@ def forms(word: str, shorter: bool) -> Iterator[tuple]:
         yield from ((word[:k] + word[k + 1:], k) for k in range(len(word)))
 
 
-def one_edit(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether a[i] becomes b[j], as long or one letter longer, by one edit."""
-    if not len(i):
-        return np.zeros(0, bool)
-    n, m = len(a[i[0]]), len(b[j[0]])
-    if m > _WIDE_WORD:
-        def holds(p: str, q: str) -> bool:
-            at = next((k for k in range(n) if p[k] != q[k]), n)
-            return p[at:] == q[at + 1:] if m > n else at < n and p[at + 1:] == q[at + 1:]
-        return np.array([holds(a[p], b[q]) for p, q in zip(i, j)], bool)
-    of_a, a_rows = np.unique(i, return_inverse=True)
-    of_b, b_rows = np.unique(j, return_inverse=True)
-    matrix = lambda words: np.array(words, f"U{m}").view(np.uint32).reshape(-1, m)
-    p, q = matrix([a[k] for k in of_a])[a_rows][:, :n], matrix([b[k] for k in of_b])[b_rows]
-    if n == m:
-        return (p != q).sum(1) == 1
-    before = np.logical_and.accumulate(p == q[:, :n], axis=1).sum(1)
-    after = np.logical_and.accumulate((p == q[:, 1:])[:, ::-1], axis=1).sum(1)
-    return before + after >= n
+class Letters:
+    """Whether a query becomes a word, as long or one letter longer, by one edit; all letters are below U+0100."""
+
+    def __init__(self, queries: list[str], words: list[str]):
+        self.queries, self.words = queries, words
+        self.n, self.m = len(queries[0]), len(words[0])
+        if self.m <= _WIDE_WORD:
+            self.a, self.b = (np.frombuffer("".join(texts).encode("latin-1"), np.uint8).reshape(len(texts), -1) for texts in (queries, words))
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, m = self.n, self.m
+        if m > _WIDE_WORD:
+            return np.array([self._holds(self.queries[p], self.words[q]) for p, q in zip(i, j)], bool)
+        p, q = self.a[i], self.b[j]
+        if n == m:
+            return np.count_nonzero(p != q, axis=1) == 1
+        # Letters alike from the start and from the end must cover the query.
+        before, after = p == q[:, :n], (p == q[:, 1:])[:, ::-1]
+        first = np.where(before.all(1), n, before.argmin(1))
+        return first + np.where(after.all(1), n, after.argmin(1)) >= n
+
+    def _holds(self, p: str, q: str) -> bool:
+        at = next((k for k in range(self.n) if p[k] != q[k]), self.n)
+        return p[at:] == q[at + 1:] if self.m > self.n else at < self.n and p[at + 1:] == q[at + 1:]
 
 
 def near_pairs(queries: list[str], words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -282,10 +319,10 @@ def near_pairs(queries: list[str], words: list[str]) -> Iterator[tuple[np.ndarra
     if not queries or not words:
         return
     longer = len(words[0]) > len(queries[0])
-    q_counts, q_group = np.unique(letter_counts(queries), axis=0, return_inverse=True)
-    w_counts, w_group = np.unique(letter_counts(words), axis=0, return_inverse=True)
-    q_members, w_members = np.argsort(q_group, kind="stable"), np.argsort(w_group, kind="stable")
-    q_from, w_from = np.searchsorted(q_group[q_members], np.arange(len(q_counts) + 1)), np.searchsorted(w_group[w_members], np.arange(len(w_counts) + 1))
+    q_counts, q_members, q_from = grouped(letter_counts(queries))
+    w_counts, w_members, w_from = grouped(letter_counts(words))
+    q_counts = q_counts.astype(w_counts.dtype)
+    letters = Letters(queries, words)
     for q, w in Boxes(w_counts).within(q_counts, 1, 0 if longer else 1):
         q_size, w_size = q_from[q + 1] - q_from[q], w_from[w + 1] - w_from[w]
         pairs = q_size * w_size
@@ -307,7 +344,7 @@ def near_pairs(queries: list[str], words: list[str]) -> Iterator[tuple[np.ndarra
             wide = np.repeat(w_size[start:end], size)
             i = q_members[np.repeat(q_from[q[start:end]], size) + each // wide]
             j = w_members[np.repeat(w_from[w[start:end]], size) + each % wide]
-            right = one_edit(queries, words, i, j)
+            right = letters.near(i, j)
             yield i[right], j[right]
 
 
@@ -337,8 +374,9 @@ def _search(group: pa.Table) -> pa.Table:
         a += [shorter[i], own[j]]
         b += [own[j], shorter[i]]
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    rank = np.empty(len(texts), np.int64)
-    rank[np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)] = np.arange(len(texts))
+    rank = np.zeros(len(texts), np.int64)
+    found = np.unique(b).tolist()
+    rank[np.array(sorted(found, key=texts.__getitem__), np.int64)] = np.arange(len(found))
     by = np.lexsort((rank[b], -n[b], a))
     a, b = a[by], b[by]
     who, first, count = np.unique(a, return_index=True, return_counts=True)
@@ -353,22 +391,23 @@ def _by_form(rows: DataFrame) -> DataFrame:
     """
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [], [])
-            for role, word, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                keys = [(f, k) for f, k in forms(word, role == _SHORTER)]
+            at, found = [], []
+            for row, (role, word) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                keys = list(forms(word, role == _SHORTER))
                 if role == _OWN:                     # met by shorter queries at no place in particular
                     keys += [(f, -1) for f in dict.fromkeys(f for f, _ in keys)]
-                for f, k in keys:
-                    for column, value in zip(out, (f, k, role, word, n)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()),
-                                              pa.array(out[3], pa.string()), pa.array(out[4], pa.int64())],
-                                             names=["form", "place", "role", "word", "n"])
-
-    spread_rows = rows.select("role", "word", "n").mapInArrow(spread, "form string, place int, role int, word string, n long")
-    words = spread_rows.where(F.col("role") == _OWN).select("form", "place", F.col("word").alias("w"), F.col("n").alias("m"))
+                at += [row] * len(keys)
+                found += keys
+            table = pa.Table.from_batches([batch]).take(pa.array(at, pa.int64()))
+            table = table.append_column("form", pa.array([f for f, _ in found], pa.string())).append_column(
+                "place", pa.array([k for _, k in found], pa.int32()))
+            yield from table.to_batches()
+
+    keys = ["length", "cell", "form", "place"]
+    spread_rows = rows.select("length", "cell", "role", "word", "n").mapInArrow(spread, f"{DEALT}, form string, place int")
+    words = spread_rows.where(F.col("role") == _OWN).select(*keys, F.col("word").alias("w"), F.col("n").alias("m"))
     asking = spread_rows.where((F.col("role") == _SHORTER) | (F.col("place") >= 0))
-    pairs = asking.join(words, ["form", "place"]).where("word <> w")
+    pairs = asking.join(words, keys).where("word <> w")
     back = pairs.where(F.col("role") == _SHORTER).select(F.col("w").alias("word"), F.col("word").alias("w"), F.col("n").alias("m"))
     both = pairs.select("word", "w", "m").unionByName(back)
     return both.select("word", F.lit(1).cast("long").alias("n_near"), F.struct((-F.col("m")).alias("less"), F.col("w").alias("word")).alias("best"))
