@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tenetlog.session import configure
 
-AS_OF = "2024-02-01T01:00:00Z"   # inside the value log
-LATE = "2024-04-01T00:00:00Z"    # after every log
+LATE = "2024-04-01T00:00:00Z"   # after every log
 
 
 class Registry:

@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tenetlog.functions import canonical as C, instants, jsontext
 from tenetlog.operators import admission, audit, freshness, integrity, intake, reads, seals, segments, signals, values
-from tenetlog.plans import sqltext as S
-from tenetlog.plans.registry import AS_OF, LATE, registry
+from tenetlog.plans import mapsql as Q, sqltext as S
+from tenetlog.plans.registry import LATE, registry
 from tenetlog.session import cut_lineage, scratch_path
 from tenetlog.sources import adapt, log as L, store
 from tenetlog.sources.store import LogStore
 
 R, W, HL = S.VALUE_ROWS, S.with_, S.VALUE_LOG
-CUT = "recorded_us <= epoch_us(TIMESTAMP '2024-02-01 01:00:00')"
-FOLD = f"""SELECT belief_id, arg_max(value,{{'i':occurred_us,'p':log_position}}) AS current_value,
- arg_max(occurred_at,{{'i':occurred_us,'p':log_position}}) AS value_occurred_at, 'verified' AS verification_state,
- arg_max(verifiability,{{'i':occurred_us,'p':log_position}}) AS verifiability, 'observed' AS display_origin,
- arg_max(event_id,{{'i':occurred_us,'p':log_position}}) AS head_event_id, count(*) AS support_count,
+FOLD = """SELECT belief_id, arg_max(value,{'i':occurred_us,'p':log_position}) AS current_value,
+ arg_max(occurred_at,{'i':occurred_us,'p':log_position}) AS value_occurred_at, 'verified' AS verification_state,
+ arg_max(verifiability,{'i':occurred_us,'p':log_position}) AS verifiability, 'observed' AS display_origin,
+ arg_max(event_id,{'i':occurred_us,'p':log_position}) AS head_event_id, count(*) AS support_count,
  count(*) FILTER (event_type='correction_appended') AS superseding_count,
- CASE WHEN arg_max(event_type,{{'i':occurred_us,'p':log_position}})='correction_appended'
+ CASE WHEN arg_max(event_type,{'i':occurred_us,'p':log_position})='correction_appended'
   THEN 'correction supersedes prior value (Inv. 6 superseding event)' ELSE 'direct observation (world-oracle class, Inv. 4)' END AS resolution_basis,
- '{AS_OF}' AS projected_as_of, arg_max(recorded_at,log_position) AS updated_at"""
-
-WHOLE_FOLD = FOLD.replace(f"'{AS_OF}'", "(SELECT max(recorded_at) FROM rows_)")
+ (SELECT max(recorded_at) FROM rows_) AS projected_as_of, arg_max(recorded_at,log_position) AS updated_at"""
 
 
 def _rows(spark, d, **kw):
@@ -35,32 +34,17 @@ def _end(rows):
     return rows.agg(F.max("recorded_at")).first()[0] or LATE
 
 
-@registry.add("current_values", W(R, f" {FOLD} FROM rows_ WHERE {CUT} GROUP BY belief_id"))
+@registry.add("current_values", W(R, f" {FOLD} FROM rows_ GROUP BY belief_id"))
 def current_values(spark, d):
-    """Value, state, basis and support counts of every belief at a recorded-time cutoff."""
-    return values.fold(_rows(spark, d), AS_OF).drop("undecided")
-
-
-@registry.add("current_values_whole", W(R, f" {WHOLE_FOLD} FROM rows_ GROUP BY belief_id"))
-def current_values_whole(spark, d):
-    """The value view at the table's last recorded time."""
+    """Value, state, basis and support counts of every belief at the last recorded time."""
     rows = _rows(spark, d)
     return values.fold(rows, _end(rows)).drop("undecided")
 
 
 @registry.add("current_values_with_lineage", W(HL, f""" {FOLD},
- list_reduce(list(event_hash ORDER BY log_position), lambda a,x: sha256(a||x), '') AS view_version_hash
- FROM log WHERE {CUT} GROUP BY belief_id"""))
-def current_values_with_lineage(spark, d):
-    """The value view with its hash lineage."""
-    log = cut_lineage(adapt.value_log(spark, d))
-    return values.fold(log, AS_OF).drop("undecided").join(values.lineage(log, AS_OF), "belief_id")
-
-
-@registry.add("current_values_with_lineage_whole", W(HL, f""" {WHOLE_FOLD},
  list_reduce(list(event_hash ORDER BY log_position), lambda a,x: sha256(a||x), '') AS view_version_hash
  FROM log GROUP BY belief_id"""))
-def current_values_with_lineage_whole(spark, d):
+def current_values_with_lineage(spark, d):
     """The value view and its hash lineage at the table's last recorded time."""
     log = cut_lineage(adapt.value_log(spark, d))
     end = _end(log)
@@ -90,16 +74,8 @@ def events_after_position(spark, d):
     return L.after(_rows(spark, d), 500).select("log_position", "event_id", "ciphertext")
 
 
-@registry.add("events_in_order", W(R, """ SELECT row_number() OVER (ORDER BY log_position) AS place, event_id FROM rows_
- WHERE recorded_us<=epoch_us(TIMESTAMP '2024-02-01 00:20:00')"""))
+@registry.add("events_in_order", W(R, " SELECT row_number() OVER (ORDER BY log_position) AS place, event_id FROM rows_"))
 def events_in_order(spark, d):
-    """Events recorded up to a cutoff, in log order."""
-    ordered = reads.events_of(_rows(spark, d), "2024-02-01T00:20:00Z")
-    return segments.dense_positions(ordered.select("event_id", "log_position"), "log_position", "place").select("place", "event_id")
-
-
-@registry.add("events_in_order_whole", W(R, " SELECT row_number() OVER (ORDER BY log_position) AS place, event_id FROM rows_"))
-def events_in_order_whole(spark, d):
     """All events of the table in log order."""
     rows = _rows(spark, d)
     ordered = reads.events_of(rows, _end(rows))
@@ -139,37 +115,19 @@ def log_tip(spark, d):
     return L.tip(adapt.value_log(spark, d))
 
 
-@registry.add("support_members", W(R, f""" SELECT belief_id, row_number() OVER (PARTITION BY belief_id ORDER BY log_position) AS ordinal,
- log_position, event_id, event_type='correction_appended' AS superseding FROM rows_ WHERE {CUT}"""))
-def support_members(spark, d):
-    """Support set of every belief in log order, one row per member."""
-    return values.support(_rows(spark, d), AS_OF)
-
-
-@registry.add("support_members_whole", W(R, """ SELECT belief_id, row_number() OVER (PARTITION BY belief_id ORDER BY log_position) AS ordinal,
+@registry.add("support_members", W(R, """ SELECT belief_id, row_number() OVER (PARTITION BY belief_id ORDER BY log_position) AS ordinal,
  log_position, event_id, event_type='correction_appended' AS superseding FROM rows_"""))
-def support_members_whole(spark, d):
+def support_members(spark, d):
     """Support set of every belief over the whole table, one row per member."""
     rows = _rows(spark, d)
     return values.support(rows, _end(rows))
 
 
-@registry.add("support_arrays", W(R, f""" SELECT belief_id, (log_position-1)//65536 AS segment,
- array_to_string(list(event_id ORDER BY log_position),' ') AS supporting,
- coalesce(array_to_string(list(event_id ORDER BY log_position) FILTER (event_type='correction_appended'),' '),'') AS superseding
- FROM rows_ WHERE {CUT} GROUP BY belief_id, segment"""))
-def support_arrays(spark, d):
-    """Support and superseding arrays per belief and position segment."""
-    rows = values.support_segments(_rows(spark, d), AS_OF)
-    return rows.select("belief_id", "segment", F.array_join("supporting_events", " ").alias("supporting"),
-                       F.array_join("superseding_events", " ").alias("superseding"))
-
-
-@registry.add("support_arrays_whole", W(R, """ SELECT belief_id, (log_position-1)//65536 AS segment,
+@registry.add("support_arrays", W(R, """ SELECT belief_id, (log_position-1)//65536 AS segment,
  array_to_string(list(event_id ORDER BY log_position),' ') AS supporting,
  coalesce(array_to_string(list(event_id ORDER BY log_position) FILTER (event_type='correction_appended'),' '),'') AS superseding
  FROM rows_ GROUP BY belief_id, segment"""))
-def support_arrays_whole(spark, d):
+def support_arrays(spark, d):
     """Support and superseding arrays over the whole table, per belief and position segment."""
     log = _rows(spark, d)
     rows = values.support_segments(log, _end(log))
@@ -350,18 +308,58 @@ def corrupted_log_audit(spark, d):
     return integrity.log_violations(bad).select("check", "location")
 
 
-@registry.add("forged_chain_audit", W(R, """ SELECT DISTINCT 'tip' AS "check", CAST((log_position-1)//64 AS VARCHAR) AS location,
- 'chain does not end in its recorded tip' AS message FROM rows_ WHERE ((log_position-1)//64)%5=3"""))
+@registry.add("forged_chain_audit", W(R, """, h AS (SELECT max(log_position)//2 AS half FROM rows_)
+ SELECT DISTINCT 'chain' AS "check", CAST((log_position-1)//64 AS VARCHAR) AS location, 'chain does not end in its recorded tip' AS message,
+ half AS reached FROM rows_, h WHERE ((log_position-1)//64)%5=3 AND (log_position-1)//64>half//64"""))
 def forged_chain_audit(spark, d):
-    """Chains rewritten and hashed afresh: every link holds, and the recorded tips tell exactly those."""
-    requests = adapt.value_requests(spark, d)
-    log, twin = adapt.value_log(spark, d), L.assign_in_chain(requests.withColumn("source_class", F.lit("forged")))
-    forged = log.where("chain_id % 5 <> 3").unionByName(twin.where("chain_id % 5 = 3").select(*log.columns))
-    end = log.agg(F.max("log_position")).first()[0]
-    tips = cut_lineage(seals.append_tips(log, end))
-    sealed = seals.sealed(tips, 1, None)
-    found = seals.tip_violations(forged, tips).unionByName(seals.seal_violations(tips, sealed))
-    return found.unionByName(integrity.link_violations(forged))
+    """Chains of the second append rewritten and hashed afresh: every link holds, the audit finds exactly those,
+    and publication stops before that append."""
+    log = cut_lineage(adapt.value_log(spark, d))
+    half = log.agg(F.max("log_position")).first()[0] // 2
+    kept = LogStore(spark, scratch_path(spark, "store"))
+    for part in (log.where(F.col("log_position") <= half), log.where(F.col("log_position") > half)):
+        kept.write_log(part)
+    changed = (F.col("chain_id") % 5 == 3) & (F.col("chain_id") > half // 64)
+    twin = L.assign_in_chain(adapt.value_requests(spark, d).withColumn("source_class", F.lit("forged"))).select(*log.columns)
+    forged = LogStore(spark, scratch_path(spark, "forged"))
+    forged.write_log(log.where(~changed).unionByName(twin.where(changed)))
+    state = kept.manifest()
+    folders = {**state.folders, "log": [f"../{forged.root.rsplit('/', 1)[1]}/{f}" for f in forged.manifest().folders["log"]]}
+    kept.commits.commit(replace(state, number=state.number + 1, folders=folders))
+    reached = kept.publish(LATE, "0")
+    return audit.log_audit(kept.audit_tables("0")).select("check", "location", "message", F.lit(reached).cast("long").alias("reached"))
+
+
+_BATCHES = """CASE WHEN n < (SELECT count(*) FROM events)//3 THEN 1 WHEN n < 2*(SELECT count(*) FROM events)//3 THEN 2 ELSE 3 END"""
+
+
+@registry.add("interrupted_submits", "WITH RECURSIVE " + S.VALUE_ROWS.lstrip().replace("rows_ AS", "plain_ AS") + f""",
+rows_ AS (SELECT * EXCLUDE (recorded_at, recorded_us), {_BATCHES} AS batch, '2024-03-01T00:00:0'||{_BATCHES}||'Z' AS recorded_at FROM plain_)"""
+              + S.HASHED + """,
+ends AS (SELECT batch, min(log_position) AS first_position, max(log_position) AS append_position FROM log GROUP BY batch),
+tips AS (SELECT CAST(batch AS VARCHAR) AS batch, CAST(chain_id AS VARCHAR) AS chain, arg_max(event_hash, log_position) AS tip FROM log GROUP BY ALL),
+""" + Q.map_roots(Q.leaves("tips", "batch", "chain", "'\"'||tip||'\"'")) + """,
+sealed AS (SELECT e.batch, append_position, sha256('seal/1|'||append_position||'|'||first_position||'|'||root||'|') AS seal FROM ends e JOIN roots r
+  ON r.scope=CAST(e.batch AS VARCHAR) WHERE e.batch=1
+ UNION ALL SELECT e.batch, e.append_position, sha256('seal/1|'||e.append_position||'|'||e.first_position||'|'||root||'|'||s.seal) FROM sealed s
+  JOIN ends e ON e.batch=s.batch+1 JOIN roots r ON r.scope=CAST(e.batch AS VARCHAR))
+ SELECT 'event' AS kind, log_position, event_id, event_hash AS hash FROM log UNION ALL SELECT 'seal', append_position, NULL, seal FROM sealed""")
+def interrupted_submits(spark, d):
+    """Three batches; each is stopped after another of its writes and submitted again. The log and its seals, and nothing else."""
+    rows = cut_lineage(adapt.value_requests(spark, d).drop(
+        "belief_id", "value", "verifiability", "recorded_at", "chain_id", "log_position").withColumnRenamed("n", "order"))
+    count = rows.count()
+    kept = LogStore(spark, scratch_path(spark, "store"))
+    for k, stop in enumerate(("log", "tips", "seals")):
+        batch = rows.where((F.col("order") >= k * count // 3) & (F.col("order") < (k + 1) * count // 3))
+        _, writes = kept.submission(batch, f"2024-03-01T00:00:0{k + 1}Z", "0", require_published=False)
+        for written in writes:
+            if written == stop:
+                break
+        kept.submit(batch, f"2024-03-01T00:00:0{k + 1}Z", "0", require_published=False)
+    log = kept.log().select(F.lit("event").alias("kind"), "log_position", "event_id", F.col("event_hash").alias("hash"))
+    return log.unionByName(kept.seals().select(F.lit("seal").alias("kind"), F.col("append_position").alias("log_position"),
+                                               F.lit(None).cast("string").alias("event_id"), F.col("seal").alias("hash")))
 
 
 @registry.add("changed_seal_audit", W(R, """ SELECT 'seal' AS "check", CAST(max(log_position)//2 AS VARCHAR) AS location, 'seal does not match its tips' AS message FROM rows_
