@@ -15,28 +15,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tenetlog.functions import instants
 from tenetlog.operators.admission import now_text
-from tenetlog.sources.log import tip
-from tenetlog.sources.store import LOG_SCHEMA, LogStore
+from tenetlog.sources.store import LogStore
 
 
 def live_as_of(store: LogStore, clock: Callable[[], str] = now_text) -> str:
     """The clock, or the log tip when a clamped tip is ahead of it."""
-    now, last = clock(), tip(store.log()).first()
-    if last is None:
-        return now
-    return max((now, last.recorded_at), key=instants.literal_us)
+    now, last = clock(), store.manifest().recorded_at
+    return now if last is None else max((now, last), key=instants.literal_us)
 
 
 def publish_stream(store: LogStore, projector: str, checkpoint: str, *, as_of: str | None = None,
                    max_files: int | None = None) -> StreamingQuery:
-    """Follow the log's files and publish up to each batch's last event.
+    """Follow the store's commits and publish up to each batch's last event.
 
-    Runs over what is there and stops (``availableNow``).
+    Runs over what is there and stops (``availableNow``). A commit is one file, so a stream
+    never sees rows of an append that is still being written.
     """
-    reader = store.spark.readStream.schema(LOG_SCHEMA)
+    reader = store.spark.readStream.schema("log_position long").option("pathGlobFilter", "*.json")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.parquet(store.log_path).select("log_position")
+    stream = reader.json(f"{store.root}/commits")
 
     def apply(batch: DataFrame, _batch_id: int) -> None:
         last = batch.agg(F.max("log_position")).first()[0]
