@@ -212,6 +212,22 @@ def value_admission(spark, d):
     return admission.admit(rows, "0").select("log_position", "event_id", "status")
 
 
+@registry.add("store_admission", W(_SUBMISSIONS, """ SELECT part, 'e-'||n AS event_id, CASE WHEN bad THEN 'refused'
+ WHEN part='first' THEN CASE WHEN ok THEN 'accepted' ELSE 'refused' END
+ WHEN part='again' THEN CASE WHEN ok THEN 'retry' ELSE 'refused' END
+ ELSE 'refused' END AS status FROM judged JOIN firsts USING (n)"""))
+def store_admission(spark, d):
+    """Three batches submitted to a store: requests, exact retries, conflicts. Earlier owners come from the key index."""
+    first = cut_lineage(adapt.value_requests(spark, d, submitted=True).drop(
+        "belief_id", "value", "verifiability", "recorded_at", "chain_id", "log_position").withColumnRenamed("n", "order"))
+    changed = first.where("order % 50 = 20").withColumn("ciphertext", F.replace("ciphertext", F.lit('"value":"'), F.lit('"value":"9')))
+    kept, found = LogStore(spark, scratch_path(spark, "store")), []
+    for part, batch in (("first", first), ("again", first.where("order % 50 = 10")), ("changed", changed)):
+        verdicts = kept.submit(batch, "2024-03-01T00:00:00Z", "0", require_published=False)
+        found.append(verdicts.select(F.lit(part).alias("part"), "event_id", "status"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @registry.add("clamped_recording_times", W(R, """, jit AS (SELECT log_position, recorded_us - (n%5)*3000000 AS us FROM rows_)
  SELECT log_position, strftime(make_timestamp(max(us) OVER (ORDER BY log_position)), '%Y-%m-%dT%H:%M:%SZ') AS recorded_at FROM jit"""))
 def clamped_recording_times(spark, d):
@@ -321,10 +337,12 @@ def forged_chain_audit(spark, d):
         kept.write_log(part)
     changed = (F.col("chain_id") % 5 == 3) & (F.col("chain_id") > half // 64)
     twin = L.assign_in_chain(adapt.value_requests(spark, d).withColumn("source_class", F.lit("forged"))).select(*log.columns)
-    forged = LogStore(spark, scratch_path(spark, "forged"))
-    forged.write_log(log.where(~changed).unionByName(twin.where(changed)))
+    forged = kept.log().where(~changed).drop("recorded_us").unionByName(twin.where(changed)).withColumn(
+        "recorded_us", instants.instant_us(F.col("recorded_at")))
     state = kept.manifest()
-    folders = {**state.folders, "log": [f"../{forged.root.rsplit('/', 1)[1]}/{f}" for f in forged.manifest().folders["log"]]}
+    folder = kept.commits.new_folder("log")
+    forged.write.parquet(f"{kept.root}/{folder}")
+    folders = {**state.folders, "log": [folder]}
     kept.commits.commit(replace(state, number=state.number + 1, folders=folders))
     reached = kept.publish(LATE, "0")
     return audit.log_audit(kept.audit_tables("0")).select("check", "location", "message", F.lit(reached).cast("long").alias("reached"))
