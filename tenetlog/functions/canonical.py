@@ -83,7 +83,7 @@ def sha256(text: Column) -> Column:
 
 
 def valid_hash(col: Column) -> Column:
-    return F.coalesce(col.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(col.rlike(r"\A[0-9a-f]{64}\z"), F.lit(False))
 
 
 def payload_hash(payload: Column) -> Column:

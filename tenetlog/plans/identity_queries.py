@@ -461,3 +461,11 @@ def semantic_hashes(spark, d):
     return adapt.identity_requests(spark, d).select("event_id", admission.semantic_hash().alias("semantic"))
 
 
+@registry.add("snapshot_sizes", W(CL, """ SELECT 'beliefs' AS kind, count(DISTINCT belief_id) AS records FROM claims
+ UNION ALL SELECT 'claim_candidates', count(*) FROM claims
+ UNION ALL SELECT unnest(['entities','mentions','entity_links']), count(*) FROM customer
+ UNION ALL SELECT 'events', (SELECT count(*) FROM customer)+(SELECT count(*) FROM orders)"""))
+def snapshot_sizes(spark, d):
+    """Records of each kind in a snapshot, after the checks that a replay makes."""
+    tables = reads.snapshot(cut_lineage(adapt.identity_log(spark, d)), LATE, "2")
+    return identity.union_all([t.agg(F.count(F.lit(1)).alias("records")).select(F.lit(k).alias("kind"), "records") for k, t in tables.items()])

@@ -409,6 +409,49 @@ def verified_publication(spark, d):
     return kept.pending_violations(LATE, "0").select(F.lit(reached).cast("long").alias("reached"), "log_position", "check", "message")
 
 
+@registry.add("stepped_back_times", W(R, " SELECT 'recorded_at' AS \"check\", event_id AS location FROM rows_ WHERE log_position%199=7"))
+def stepped_back_times(spark, d):
+    """Events whose recorded time lies before that of the event before them."""
+    log = cut_lineage(adapt.value_log(spark, d))
+    early = F.col("log_position") % 199 == 7
+    bent = log.withColumn("recorded_at", F.when(early, F.lit("2024-01-31T23:00:00Z")).otherwise(F.col("recorded_at")))
+    return audit.log_audit(audit.Store(*L.split(bent), log.select("log_position", "event_id").limit(0))).where("check = 'recorded_at'").select(
+        "check", "location")
+
+
+@registry.add("malformed_requests", W(R, """, bad AS (SELECT n, event_id, CASE n%41 WHEN 3 THEN ['occurred_at'] WHEN 5 THEN ['source'] WHEN 7 THEN ['source.actor_id']
+ WHEN 11 THEN ['source.config'] WHEN 13 THEN ['redaction'] WHEN 17 THEN ['payload'] WHEN 19 THEN ['occurred_at','payload'] ELSE [] END AS checks FROM rows_)
+ SELECT unnest(checks) AS "check", event_id AS location FROM bad"""))
+def malformed_requests(spark, d):
+    """Requests refused for their shape: times without an offset, sources, redaction, payloads."""
+    n = F.col("log_position") - 1
+    kind = lambda *k: (n % 41).isin(*k)
+    rows = _rows(spark, d).withColumn("occurred_at", F.when(kind(3, 19), F.substring("occurred_at", 1, 19)).otherwise(F.col("occurred_at")))
+    rows = rows.withColumn("source", F.when(kind(5), "[]").when(kind(7), '{"actor_id":"","config":{}}').when(
+        kind(11), '{"actor_id":"u","config":[]}').otherwise(F.col("source")))
+    rows = rows.withColumn("redacted", F.col("redacted") | kind(13)).withColumn(
+        "ciphertext", F.when(kind(17, 19), '"text"').otherwise(F.col("ciphertext")))
+    return integrity.unpack(rows, integrity.pack(integrity.request_checks()), F.col("event_id")).select("check", "location")
+
+
+@registry.add("malformed_hashes", """SELECT event_id, event_id%6 IN (0,1) AS valid FROM events""")
+def malformed_hashes(spark, d):
+    """SHA-256 digests told from other texts: capitals, other lengths, other letters, a line end, absent ones."""
+    n, h = F.col("event_id"), F.sha2(F.col("event_id").cast("string"), 256)
+    text = (F.when(n % 6 <= 1, h).when(n % 6 == 2, F.upper(F.concat(F.lit("a"), F.substring(h, 2, 63)))).when(n % 6 == 3, F.substring(h, 1, 63))
+            .when(n % 6 == 4, F.concat(F.substring(h, 1, 63), F.lit("g"))).when(n % 12 == 5, F.concat(h, F.lit("\n"))))
+    return adapt.table(spark, d, "events").select("event_id", F.coalesce(C.valid_hash(text), F.lit(False)).alias("valid"))
+
+
+@registry.add("published_overview", W(R, " SELECT count(*) AS event_count, '0' AS projectors, max(log_position) AS reached FROM rows_"))
+def published_overview(spark, d):
+    """A store's event count and the projectors that have published from it."""
+    kept = LogStore(spark, scratch_path(spark, "store"))
+    kept.write_log(adapt.value_log(spark, d))
+    reached = kept.publish(LATE, "0", verify=False)
+    return kept.overview().select("event_count", F.array_join("projector_versions", ",").alias("projectors"), F.lit(reached).cast("long").alias("reached"))
+
+
 @registry.add("missing_payload_audit", W(R, """ SELECT event_id AS location, CASE WHEN log_position%101=5 THEN 'missing payload row'
  ELSE 'redacted payload replay is not implemented' END AS message FROM rows_ WHERE log_position%101=5 OR log_position%103=6
  UNION ALL SELECT 'ghost-'||event_id, 'orphan payload row' FROM rows_ WHERE log_position%107=7"""))
