@@ -5,7 +5,8 @@ hash order are the ordered atomic groups, so copies never part. There are at mos
 ``2 ** BLOCK_BITS`` blocks however large the table is, so their sizes fit the driver.
 A block above the mean size of what is left takes a shard of its own (no partition can
 do better for it); over the rest, a binary search finds the least capacity for which
-greedy filling needs no more shards than there are, and the cuts are made there.
+greedy filling needs no more shards than there are. Greedy filling leaves what is short to
+the last shard, so the cuts are made where the smallest shard under that capacity is largest.
 
 Slots need no ordered pass over a shard: rows are ranked inside (shard, lane), where the
 lane is a hash of the id, and a lane starts where the lanes before it end.
@@ -13,6 +14,9 @@ lane is a hash of the id, and a lane starts where the lanes before it end.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tenetlog.llm import common
@@ -43,6 +47,52 @@ def feasible(sizes: list[int], capacity: int, shards: int) -> list[int] | None:
     return starts
 
 
+def reachable(ends: list[int], least: int, capacity: int, shards: int) -> list[int]:
+    """For each place the numbers of shards, as bits, that can end there with sizes from ``least`` to ``capacity``."""
+    masks, allowed = [1] + [0] * (len(ends) - 1), (1 << (shards + 1)) - 1
+    # The places a shard may start at form a window that moves on; two stacks hold the union of its bits.
+    front: list[tuple[int, int]] = []
+    back, back_bits, low, entered = [], 0, 0, 0
+    for j in range(1, len(ends)):
+        while entered < j and ends[j] - ends[entered] >= least:
+            back.append(masks[entered])
+            back_bits |= masks[entered]
+            entered += 1
+        while low < entered and ends[j] - ends[low] > capacity:
+            if not front:
+                bits = 0
+                for mask in reversed(back):
+                    bits |= mask
+                    front.append((mask, bits))
+                back, back_bits = [], 0
+            front.pop()
+            low += 1
+        masks[j] = ((back_bits | (front[-1][1] if front else 0)) << 1) & allowed
+    return masks
+
+
+def even_cuts(sizes: list[int], capacity: int, shards: int) -> list[int]:
+    """Start of each shard: none above ``capacity``, and the smallest as large as it can be under that."""
+    ends = [0, *accumulate(sizes)]
+    low, high = 0, ends[-1] // shards
+    masks = reachable(ends, 0, capacity, shards)
+    used = masks[-1].bit_length() - 1              # fewer than ``shards`` only where there are fewer groups
+    while low < high:
+        middle = (low + high + 1) // 2
+        found = reachable(ends, middle, capacity, shards)
+        if found[-1] >> used & 1:
+            low, masks = middle, found
+        else:
+            high = middle - 1
+    starts, end = [], len(sizes)
+    for left in range(used - 1, -1, -1):
+        goal = ends[end] * left / (left + 1)
+        inside = [k for k in range(bisect_left(ends, ends[end] - capacity), end) if ends[end] - ends[k] >= low and masks[k] >> left & 1]
+        end = min(inside, key=lambda k: abs(ends[k] - goal))
+        starts.append(end)
+    return starts[::-1]
+
+
 def minimax(sizes: list[int], shards: int) -> list[int]:
     """Starts of the shards of a contiguous partition whose largest shard is as small as can be."""
     low, high = max([*sizes, -(-sum(sizes) // shards)]), sum(sizes)
@@ -52,7 +102,7 @@ def minimax(sizes: list[int], shards: int) -> list[int]:
             low = middle + 1
         else:
             high = middle
-    return feasible(sizes, low, shards)
+    return even_cuts(sizes, low, shards)
 
 
 def plan(blocks: list[tuple[int, int]], shards: int) -> dict[int, int]:

@@ -18,6 +18,18 @@ def test_minimax_equals_brute_force():
         assert max(sum(sizes[a:b]) for a, b in itertools.pairwise((*starts, len(sizes)))) == best
 
 
+def test_the_smallest_shard_is_as_large_as_it_can_be():
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = [rng.randint(1, 9) for _ in range(rng.randint(1, 8))]
+        used = min(rng.randint(1, 5), len(sizes))
+        parts = [[sum(sizes[a:b]) for a, b in itertools.pairwise((0, *cut, len(sizes)))] for cut in itertools.combinations(range(1, len(sizes)), used - 1)]
+        least = min(max(p) for p in parts)
+        starts = sharding.minimax(sizes, used)
+        load = [sum(sizes[a:b]) for a, b in itertools.pairwise((*starts, len(sizes)))]
+        assert (max(load), min(load)) == (least, max(min(p) for p in parts if max(p) == least)) and len(load) == used
+
+
 def test_a_hot_block_stands_alone():
     found = sharding.plan([(k, 10) for k in range(100)] + [(100, 5000)], 11)
     load = defaultdict(int)
@@ -26,6 +38,15 @@ def test_a_hot_block_stands_alone():
     assert sorted(load.values()) == [100] * 10 + [5000]
 
 
+def test_the_last_shard_is_no_remainder():
+    rng = random.Random(4)
+    for shards in (3, 10, 40):
+        sizes = [rng.randint(1, 100) for _ in range(1000)]
+        starts = sharding.minimax(sizes, shards)
+        load = [sum(sizes[a:b]) for a, b in itertools.pairwise((*starts, len(sizes)))]
+        assert len(load) == shards and max(load) - sum(sizes) / shards <= 100 and sum(sizes) / shards - min(load) <= 100
+
+
 def check(rows, texts, shards):
     slots, of_text, load = defaultdict(list), {}, defaultdict(int)
     for r in rows:
@@ -52,4 +73,6 @@ def test_given_documents_are_near_equal(spark, sf):
     docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     load = check(sharding.shard_table(docs).collect(), texts, 40)
-    assert len(load) == 40 and max(load.values()) < 1.6 * sum(load.values()) / 40
+    mean, group = sum(load.values()) / 40, max(len((t or "").encode()) + 16 for t in texts.values())
+    assert len(load) == 40 and max(load.values()) - mean <= group and mean - min(load.values()) <= group
+    assert 0.75 * mean < min(load.values()) and max(load.values()) < 1.25 * mean       # groups hold up to 0.7 of the mean
