@@ -7,7 +7,8 @@ shingle. ``ROWS`` coordinates make a band; with ``BANDS`` of them a pair of simi
 0.8 meets in some band but for about four pairs in ten million, and more similar ones
 surely.
 
-Rows with equal shingle sets are one node. In each bucket the least node is compared with
+Rows with equal shingle sets are one node, whatever their ids: a node is told by its set,
+so rows that share an id but not a text are judged each on its own. In each bucket the least node is compared with
 all others, on full sets. Nodes of a bucket that are still in different components after
 that are compared with each other too, so no pair that met in a bucket stays unjudged
 unless both are connected already.
@@ -19,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenetlog.llm import common
@@ -29,7 +31,7 @@ UNIVERSE = 1 << 20
 PERCENT = 80
 CLASS_WORDS = 16       # words of 64 bits that say which hash classes a set touches
 SLICE = 256            # shingles whose coordinates are reduced at once
-SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SIGNATURES = "doc_id long, n_shingles long, text_hash long, set_a long, set_b long, bands array<long>"
 
 
 class Permutations:
@@ -66,6 +68,17 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return found
 
 
+def _set_sums(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Two 64-bit sums that together tell a set from others."""
+    return [np.array([(common.mixed(s + np.uint64(c)).sum(dtype=np.uint64) if len(s) else 0) for s in sets], np.uint64).view(np.int64)
+            for c in (1, 2)]
+
+
+def _text_hashes(texts: list[bytes]) -> pa.Array:
+    """What ``xxhash64`` of Spark gives for the same texts; a null text counts as the empty one."""
+    return pa.array(np.array([xxhash.xxh64_intdigest(t, seed=42) for t in texts], np.uint64).view(np.int64))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     names = [c.split()[0] for c in SIGNATURES.split(", ")]
     salt = common.mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -81,22 +94,21 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             for r in range(ROWS):
                 band = band * turn + rank[:, :, r] + np.uint64(1)
             sizes = np.array([len(s) for s in sets], np.int64)
-            sums = [np.array([(common.mixed(s + np.uint64(c)).sum(dtype=np.uint64) if len(s) else 0) for s in sets], np.uint64).view(np.int64)
-                    for c in (1, 2)]
+            sums = _set_sums(sets)
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes), *map(pa.array, sums),
+                [pa.array(ids, pa.int64()), pa.array(sizes), _text_hashes(texts), *map(pa.array, sums),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(common.mixed(band).view(np.int64).ravel()))], names=names)
 
     return common.keyed(docs).mapInArrow(run, SIGNATURES)
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, set_a, shingles, bits): full sets as sorted 64-bit hashes, and which hash classes they touch."""
+    """(doc_id, set_a, set_b, shingles, bits): full sets as sorted 64-bit hashes, and which hash classes they touch."""
     def run(batches):
         for ids, texts in common.chunks(batches):
             sets = shingle_sets(texts, words)
-            sums = np.array([(common.mixed(s + np.uint64(1)).sum(dtype=np.uint64) if len(s) else 0) for s in sets], np.uint64)
+            sums = _set_sums(sets)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             classes = np.zeros((len(sets), 64 * CLASS_WORDS), np.uint8)
@@ -104,11 +116,11 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
                 classes[k, (s >> np.uint64(20)) % np.uint64(64 * CLASS_WORDS)] = 1
             bits = np.packbits(classes, axis=1).view(np.int64).reshape(len(sets), CLASS_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sums.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                [pa.array(ids, pa.int64()), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * CLASS_WORDS), pa.array(bits.ravel()))],
-                names=["doc_id", "set_a", "shingles", "bits"])
+                names=["doc_id", "set_a", "set_b", "shingles", "bits"])
 
-    return common.keyed(docs).mapInArrow(run, "doc_id long, set_a long, shingles array<long>, bits array<long>")
+    return common.keyed(docs).mapInArrow(run, "doc_id long, set_a long, set_b long, shingles array<long>, bits array<long>")
 
 
 def similar_sizes(a: Column, b: Column) -> Column:
@@ -124,45 +136,55 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(both * 100 >= (F.size("_a") + F.size("_b") - both) * PERCENT).select("a", "b"))
 
 
-def cluster(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, links), one row per input row.
+def _clustered(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n_shingles, text_hash, component, component_id), one row per input row.
 
-    Null and empty texts, and texts without words, have no shingles and stay alone. Rows
-    of one id count as one document. ``component_id`` is the least id reachable over links;
-    ``links``: verified links of the row's shingle set that were used for its component, not
-    all its near copies: three mutual copies give 2, 1, 1. An empty table gives no rows.
+    ``component`` names the component of a row with shingles; ``component_id`` is its least
+    document id. Both are null where there is none.
     """
     rows = common.stored(signatures(docs, words), "minhash-signatures")
-    filled = rows.where("n_shingles > 0 and doc_id is not null")
-    nodes = filled.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(
-        F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))
+    # The numbers of the nodes are arbitrary, but fixed once they are written.
+    nodes = common.stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
+                          .agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
+                          .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     places = common.stored(nodes.select("node", "n", F.explode("bands").alias("key")), "minhash-bands")
     pivots = places.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = common.stored(places.join(pivots, "key").select("key", "node", "n", "members", F.col("pivot.node").alias("p"),
                                                              F.col("pivot.n").alias("pn")), "minhash-shared")
     common.drop_stored(places)
-    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
-    ids = filled.select("doc_id", "set_a").join(wanted, "doc_id", "left_semi")
-    texts = common.keyed(docs).join(wanted, "doc_id", "left_semi")
-    sets = common.stored(sets_of(texts, words).join(ids, ["doc_id", "set_a"], "left_semi").dropDuplicates(["doc_id"])
-                         .select(F.col("doc_id").alias("node"), "shingles", "bits"), "minhash-sets")
+    wanted = common.stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "set_a", "set_b"),
+                           "minhash-wanted")
+    texts = common.keyed(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = common.stored(sets_of(texts, words).join(wanted, ["doc_id", "set_a", "set_b"]).dropDuplicates(["node"])
+                         .select("node", "shingles", "bits"), "minhash-sets")
     tested = shared.where((F.col("node") != F.col("p")) & similar_sizes(F.col("n"), F.col("pn"))).select(
         F.col("p").alias("a"), F.col("node").alias("b")).distinct()
     links = common.stored(verified(tested, sets), "minhash-links")
     labels = common.stored(components(links), "minhash-labels")
     more = common.stored(verified(_open_pairs(shared, labels, sets), sets), "minhash-links")
     if not more.isEmpty():
-        links = links.unionAll(more)
-        labels = common.stored(components(links), "minhash-labels")
+        labels = common.stored(components(links.unionAll(more)), "minhash-labels")
     common.drop_stored(sets)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    named = (nodes.drop("bands", "n").join(labels, "node", "left").join(ends, "node", "left")
-             .select("set_a", "set_b", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
-    found = F.coalesce("label", "doc_id")
-    return (rows.drop("bands").join(named, ["set_a", "set_b"], "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, found).otherwise(F.col("doc_id")).alias("component_id"), "links")
-            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-                    F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+    least = labels.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("least"))
+    named = (nodes.select("node", "set_a", "set_b", "doc_id").join(labels.join(least, "label"), "node", "left")
+             .select("set_a", "set_b", F.coalesce("label", "node").alias("component"), F.coalesce("least", "doc_id").alias("component_id")))
+    # Rows without shingles have no set; their zero sums meet no node.
+    return rows.drop("bands").join(named, ["set_a", "set_b"], "left").select(
+        "doc_id", "n_shingles", "text_hash", *[F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in ("component", "component_id")])
+
+
+def cluster(docs: DataFrame, words: int = 4) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per input row.
+
+    ``component_id`` is the least id reachable over links. Null and empty texts, and texts
+    without words, have no shingles and stay alone. Rows of one id with equal texts give
+    equal rows; with different texts each is linked by its own, so a component may hold one of
+    them only. A row without an id has the component of the documents with its shingles, or none.
+    An empty table gives no rows. The result does not depend on the order of the rows.
+    """
+    return _clustered(docs, words).select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,14 +218,22 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the least id.
 
-    Rows without an id stay; of rows that share an id one stays.
+    Rows without an id or without words stay. Where several rows of a component have its
+    least id, the text with the least hash stays, once. Rows that share an id but are no copies
+    of each other are judged each on its own. An empty table gives no rows.
     """
-    removed = common.stored(cluster(docs, words).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(),
-                            "minhash-removed")
-    twice = common.stored(docs.groupBy(F.col("doc_id").cast("long").alias("_twice")).agg(F.count(F.lit(1)).alias("n"))
-                          .where("n > 1 and _twice is not null").select("_twice"), "minhash-repeated")
-    left = docs.join(removed, docs["doc_id"].cast("long") == removed["_gone"], "left_anti")
+    judged = _clustered(docs, words).where("doc_id is not null and component is not null")
+    place = F.struct("doc_id", "text_hash")
+    first = judged.groupBy("component").agg(F.min(place).alias("first"))
+    copies = common.stored(judged.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+                           .join(first, "component").where((place != F.col("first")) | (F.col("rows") > 1))
+                           .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), (place == F.col("first")).alias("_first")),
+                           "minhash-copies")
+    same = (docs["doc_id"].cast("long") == F.col("_id")) & (
+        F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_text"))
+    left = docs.join(copies, same, "left_anti")
+    twice = copies.where("_first")
     if twice.isEmpty():
         return left
-    again = left["doc_id"].cast("long") == twice["_twice"]
-    return left.join(twice, again, "left_anti").unionAll(left.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    again = docs.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.unionAll(again)

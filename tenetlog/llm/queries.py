@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenetlog.llm import (common, decontamination, html_text, language, licenses, minhash, packing, quality_rules, rule_ensemble,
-                          sharding, spelling, substrings, token_counts, whitening)
+                          sharding, spelling, sqlforms, substrings, token_counts, whitening)
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> tuple[str, str]:
@@ -93,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_token_counts, op8_decontamination, op9_license_scan, op10_packing, op11_html_extraction, op12_embedding_whitening,
         op13_spelling_variants)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sqlforms.ORACLE_SQL

@@ -80,6 +80,48 @@ def test_repeated_rows_and_empty_table(docs_of):
     assert minhash.cluster(docs_of([])).count() == 0
 
 
+def test_row_order_does_not_matter(docs_of):
+    """One id with different texts, of which one has a near copy."""
+    rng = random.Random(12)
+    a, b = ([f"{x}{k}" for k in range(120)] for x in "ab")
+    near = b[:60] + ["new"] + b[61:]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (4, " ".join(near)), (6, " ".join(a)), (8, None), (8, "")]
+    want = sorted([(1, 1), (1, 1), (4, 1), (6, 1), (8, 8), (8, 8)])
+    for _ in range(3):
+        rng.shuffle(rows)
+        docs = docs_of(rows)
+        assert sorted((r.doc_id, r.component_id) for r in minhash.cluster(docs).collect()) == want
+        assert sorted((r.doc_id, r.text or "") for r in minhash.one_of_each(docs).collect()) == sorted(
+            [(1, " ".join(a)), (1, " ".join(b)), (8, ""), (8, "")])
+
+
+def test_one_row_of_copies_that_share_an_id(docs_of):
+    words = [f"w{k}" for k in range(90)]
+    low, up, other = " ".join(words), " ".join(words).upper(), " ".join(words[::-1])
+    rows = [(3, low), (3, low), (3, up), (3, other), (5, up), (None, low), (2, "\t" + other)]
+    kept = {}
+    for order in (rows, rows[::-1]):
+        found = [(r.doc_id, r.text) for r in minhash.one_of_each(docs_of(order)).collect()]
+        kept[len(kept)] = sorted(found, key=repr)
+    assert kept[0] == kept[1]
+    assert len(kept[0]) == 3 and (None, low) in kept[0] and (2, "\t" + other) in kept[0]
+
+
+def test_text_hash_is_the_one_of_spark(spark, docs_of):
+    from pyspark.sql import functions as F
+    docs = docs_of(["", "a", "abcdefg", "é" * 5, "x" * 31, "x" * 32, "words and more words " * 40])
+    want = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    assert {r.doc_id: r.text_hash for r in minhash.signatures(docs, 4).collect()} == want
+
+
+def test_text_above_a_chunk(docs_of):
+    """A text larger than what is handled at once, with a near copy."""
+    long = " ".join(f"w{k}" for k in range(400_000))
+    assert len(long) > minhash.common.CHUNK_BYTES
+    rows = minhash.cluster(docs_of([(5, long), (9, "short text of a few words"), (2, long + " and an end")])).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(5, 2), (9, 9), (2, 2)}
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check(minhash.cluster(docs).collect(), {r.doc_id: r.text for r in docs.collect()}, 4)
