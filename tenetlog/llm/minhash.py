@@ -143,11 +143,14 @@ def _clustered(docs: DataFrame, words: int) -> DataFrame:
     document id. Both are null where there is none.
     """
     rows = common.stored(signatures(docs, words), "minhash-signatures")
-    # The numbers of the nodes are arbitrary, but fixed once they are written.
-    nodes = common.stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
-                          .agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
-                          .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
-    places = common.stored(nodes.select("node", "n", F.explode("bands").alias("key")), "minhash-bands")
+    sets_seen = ["set_a", "set_b", "n_shingles"]
+    filled = rows.where("n_shingles > 0 and doc_id is not null")
+    # Nodes are numbered in the order of their least ids, so the least node of a bucket is its first document.
+    # The numbers are fixed once they are written.
+    nodes = common.stored(filled.groupBy(*sets_seen).agg(F.min("doc_id").alias("doc_id")).repartitionByRange("doc_id", "set_a")
+                          .sortWithinPartitions("doc_id", "set_a", "set_b").withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    signed = filled.groupBy(*sets_seen).agg(F.any_value("bands").alias("bands")).join(nodes.drop("doc_id"), sets_seen)
+    places = common.stored(signed.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")), "minhash-bands")
     pivots = places.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = common.stored(places.join(pivots, "key").select("key", "node", "n", "members", F.col("pivot.node").alias("p"),
                                                              F.col("pivot.n").alias("pn")), "minhash-shared")
@@ -155,7 +158,8 @@ def _clustered(docs: DataFrame, words: int) -> DataFrame:
     wanted = common.stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "set_a", "set_b"),
                            "minhash-wanted")
     texts = common.keyed(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = common.stored(sets_of(texts, words).join(wanted, ["doc_id", "set_a", "set_b"]).dropDuplicates(["node"])
+    own = ["doc_id", "set_a", "set_b"]      # one shuffle for the join and for repeated rows
+    sets = common.stored(sets_of(texts, words).join(wanted, own).dropDuplicates(own)
                          .select("node", "shingles", "bits"), "minhash-sets")
     tested = shared.where((F.col("node") != F.col("p")) & similar_sizes(F.col("n"), F.col("pn"))).select(
         F.col("p").alias("a"), F.col("node").alias("b")).distinct()
