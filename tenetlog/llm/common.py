@@ -125,6 +125,34 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+MAP_BITS = 24            # a bit map has 2 ** MAP_BITS bits: 2 MB, however many hashes it holds
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Both bits of every 64-bit ``hash``, packed; the driver receives at most 2 ** MAP_BITS / 64 rows.
+
+    The more hashes it holds the more others pass as well, so what follows must not rely on it.
+    """
+    low = F.col("hash").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    high = F.shiftrightunsigned("hash", 64 - MAP_BITS)
+    rows = (hashes.select(F.explode(F.array(low, high)).alias("bit"))
+            .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas())
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_map(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in a map of ``bit_map``."""
+    def held(bits):
+        return (packed[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    found = held((hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64))
+    at = np.flatnonzero(found)
+    found[at] = held((hashes[at] & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64))
+    return found
+
+
 def encoded(texts: list[str | None]) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 

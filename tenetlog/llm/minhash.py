@@ -103,10 +103,20 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return common.keyed(docs).mapInArrow(run, SIGNATURES)
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, set_a, set_b, shingles, bits): full sets as sorted 64-bit hashes, and which hash classes they touch."""
+def sets_of(docs: DataFrame, words: int, ids_map: np.ndarray) -> DataFrame:
+    """(doc_id, set_a, set_b, shingles, bits): full sets as sorted 64-bit hashes, and which hash classes they touch.
+
+    Of the documents whose ids may be in ``ids_map``: others pass too, and more of them the fuller it is.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ids_map)
+
+    def passing(batches):
+        for batch in batches:
+            hashes = batch.column(2).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(common.in_map(shared.value, hashes)))
+
     def run(batches):
-        for ids, texts in common.chunks(batches):
+        for ids, texts in common.chunks(passing(batches)):
             sets = shingle_sets(texts, words)
             sums = _set_sums(sets)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -120,7 +130,8 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * CLASS_WORDS), pa.array(bits.ravel()))],
                 names=["doc_id", "set_a", "set_b", "shingles", "bits"])
 
-    return common.keyed(docs).mapInArrow(run, "doc_id long, set_a long, set_b long, shingles array<long>, bits array<long>")
+    return common.keyed(docs).withColumn("hash", F.xxhash64("doc_id")).mapInArrow(
+        run, "doc_id long, set_a long, set_b long, shingles array<long>, bits array<long>")
 
 
 def similar_sizes(a: Column, b: Column) -> Column:
@@ -157,9 +168,10 @@ def _clustered(docs: DataFrame, words: int) -> DataFrame:
     common.drop_stored(places)
     wanted = common.stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "set_a", "set_b"),
                            "minhash-wanted")
-    texts = common.keyed(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # No text is shuffled: a map of fixed size tells tasks which texts may be wanted, the join which ones are.
+    ids_map = common.bit_map(wanted.select(F.xxhash64("doc_id").alias("hash")))
     own = ["doc_id", "set_a", "set_b"]      # one shuffle for the join and for repeated rows
-    sets = common.stored(sets_of(texts, words).join(wanted, own).dropDuplicates(own)
+    sets = common.stored(sets_of(docs, words, ids_map).join(wanted, own).dropDuplicates(own)
                          .select("node", "shingles", "bits"), "minhash-sets")
     tested = shared.where((F.col("node") != F.col("p")) & similar_sizes(F.col("n"), F.col("pn"))).select(
         F.col("p").alias("a"), F.col("node").alias("b")).distinct()
