@@ -1,7 +1,7 @@
 """Quality rules: fixed rules, and an isolation forest over rule statistics.
 
 Trees split a bounded sample of rows at random; rows that few splits separate are
-anomalous. The threshold on the anomaly score is calibrated on labelled rows: the least
+anomalous. The threshold on the anomaly score is calibrated on all labelled rows: the least
 score that at most ``CLEAN_LOSS`` of the rows labelled good reach. A document is kept if
 no fixed rule fails and its score stays below the threshold.
 """
@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tenetlog.llm import common
 
-# Bounds of the fit: rows for the trees, labelled rows for the threshold.
-SAMPLE_ROWS, LABELLED_ROWS = 20_000, 20_000
+# Bound of the fit: rows from which the trees draw theirs.
+SAMPLE_ROWS = 20_000
+BINS = 4_096             # counts that one step of the search for the threshold brings to the driver
 TREES, TREE_ROWS, DEPTH = 100, 256, 10
 CLEAN_LOSS = 0.002
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -164,14 +165,36 @@ def fit(stats: DataFrame, labels: DataFrame | None) -> tuple[Forest, float]:
         return forest, 2.0
     good = (labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
             .join(passed, "doc_id"))
-    good = bounded(good, LABELLED_ROWS, 12).select("features").toPandas()
-    if not len(good):
+    model = stats.sparkSession.sparkContext.broadcast(forest)      # TREES * TREE_ROWS * 2 nodes at most
+
+    def run(batches):
+        for batch in batches:
+            features = batch.column(0).flatten().to_numpy().reshape(len(batch), len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(model.value.score(features) if len(batch) else np.zeros(0))], names=["score"])
+
+    scores = common.stored(good.select("features").mapInArrow(run, "score double"), "quality-scores")
+    n = scores.count()
+    if not n:
         return forest, 2.0
-    scores = np.sort(forest.score(np.array(good["features"].tolist(), float)))
-    above = np.nextafter(scores[min(len(scores) - 1, int(np.ceil((1 - CLEAN_LOSS) * len(scores))))], 2)
+    above = np.nextafter(order_statistic(scores, min(n - 1, int(np.ceil((1 - CLEAN_LOSS) * n)))), 2)
     return forest, float(above)
 
 
+def order_statistic(scores: DataFrame, k: int) -> float:
+    """The k-th least ``score``, from 0, exactly: counts of ever narrower ranges, ``BINS`` at a time."""
+    low, high, below = *scores.agg(F.min("score"), F.max("score")).first(), 0
+    while low < high:
+        place = F.least(F.floor((F.col("score") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = (scores.where(F.col("score").between(low, high)).groupBy(place.alias("bin"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).orderBy("bin").collect())
+        for b in bins:
+            if below + b["n"] > k:
+                low, high = b["low"], b["high"]
+                break
+            below += b["n"]
+    return low
+
+
 def judge(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(doc_id, counts, base_failed, kept, anomaly), one row per input row.
 

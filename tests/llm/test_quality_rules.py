@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tenetlog.llm import quality_rules
 
@@ -50,3 +51,13 @@ def test_lonely_rows_score_higher():
     rows = np.concatenate([rng.normal(0, 1, (2000, 3)), [[9, 9, 9], [-8, 7, 9]]])
     score = quality_rules.Forest(rows).score(rows)
     assert score[-2:].min() > np.quantile(score[:-2], 0.999)
+
+
+@pytest.mark.parametrize("bins", [4_096, 3])
+def test_order_statistic_equals_sorting(spark, monkeypatch, bins):
+    monkeypatch.setattr(quality_rules, "BINS", bins)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.random(400), np.full(300, 0.5), [0.5 + 1e-16, 0.5 + 2e-16, 1e-300, 1.0]])
+    scores = spark.createDataFrame([(float(v),) for v in values], "score double").cache()
+    for k in (0, 1, 350, 600, len(values) - 2, len(values) - 1):
+        assert quality_rules.order_statistic(scores, k) == np.sort(values)[k]
