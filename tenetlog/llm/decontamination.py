@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, alignment scores them.
 
-Seeds are the ``SEED``-word runs of an item that hold a word rare among the items; an item
-without any uses all its runs. A bit map of fixed size tells tasks which runs of a
+Seeds are the ``SEED``-word runs of an item that few items hold; an item that those hardly
+cover uses its least-held runs as well. A bit map of fixed size tells tasks which runs of a
 document may be seeds; around those, passages are cut, and a join of their runs with the
 seed table gives (passage, item) candidates. A word-level Smith-Waterman alignment scores
 each candidate; the share of the item's best possible score decides.
@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tenetlog.llm import common
 
 SEED = 3
-RARE_SHARE = 0.01        # a word is rare if at most this share of the items (or two items) hold it
-MAP_BITS = 24            # the bit map has 2 ** MAP_BITS bits: 2 MB, whatever the benchmark's size
+# A run is rare if at most this share of the items (or two items) hold it, and never more than RUN_HOLDERS items.
+RARE_SHARE, RUN_HOLDERS = 0.01, 20
+# Least share of an item's words under its rare runs. A copy that passes keeps THRESHOLD of the words
+# or more, so with over 1 - THRESHOLD a part of what it keeps lies under rare runs.
+COVERED = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
 ITEMS = "row long, words binary, n_words int, seeds array<long>"
@@ -48,55 +51,58 @@ def item_rows(items: DataFrame) -> DataFrame:
 
 
 def item_table(items: DataFrame) -> DataFrame:
-    """Words and seeds of every item row; one of fewer than ``SEED`` words has no seed and matches nothing."""
+    """(row, item_id, words, n_words, seeds) of every item row with a word.
+
+    Seeds are the rare runs. Where those cover less than
+    ``COVERED`` of an item's words, the least-held run over each other word is a seed too, so
+    an item made of common runs alone has seeds as well. An item of fewer than ``SEED`` words
+    has one seed, itself, and is met only by documents that consist of it.
+    """
     rows = item_rows(items)
 
-    def split(batches):
+    def runs_of(batches):
         for ids, texts in common.chunks(batches):
             w = common.Words([plain(t) for t in texts])
-            owner = np.repeat(np.arange(len(ids)), np.diff(w.ranges))
+            runs = [_runs(w.hashes[a:b]).view(np.int64) for a, b in zip(w.ranges[:-1], w.ranges[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[owner]), pa.array((np.arange(len(owner)) - w.ranges[owner]).astype(np.int32)),
-                 pa.array(w.hashes.view(np.int64)), pa.array([w.buffer[a:b] for a, b in zip(w.starts, w.ends)], pa.binary())],
-                names=["row", "place", "hash", "word"])
-
-    words = common.stored(rows.select("row", "text").mapInArrow(split, "row long, place int, hash long, word binary"), "benchmark-words")
-    n_items = words.select("row").distinct().count()
-    holders = words.groupBy("hash").agg(F.countDistinct("row").alias("holders"))
-    rare = holders.where(F.col("holders") <= max(2, int(RARE_SHARE * n_items))).select("hash", F.lit(True).alias("rare"))
-    marked = words.join(rare, "hash", "left")
-    grouped = (marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
-        "place", "word", "hash", F.coalesce("rare", F.lit(False)).alias("rare")))).alias("w"))
-        .select("row", F.col("w.word").alias("words"), F.col("w.hash").alias("hashes"), F.col("w.rare").alias("rare")))
+                [pa.array(ids, pa.int64()), pa.array([b" ".join(plain(t).split()) for t in texts], pa.binary()),
+                 pa.array(np.diff(w.ranges).astype(np.int32)), pa.array(runs, pa.list_(pa.int64()))], names=["row", "words", "n_words", "runs"])
+
+    table = common.stored(rows.select("row", "text").mapInArrow(runs_of, "row long, words binary, n_words int, runs array<long>")
+                          .where("n_words > 0"), "benchmark-words")
+    limit = max(2, min(RUN_HOLDERS, int(RARE_SHARE * table.count())))
+    placed = table.select("row", F.posexplode("runs").alias("place", "run"))
+    holders = placed.select("row", "run").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("holders"))
+    rated = placed.join(holders, "run").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "holders"))).alias("r"))
+    chosen = table.join(rated.select("row", F.col("r.holders").alias("holders")), "row").select("row", "words", "n_words", "runs", "holders")
 
     def seeds(batches):
         for batch in batches:
-            out = []
-            for row, words_, hashes, rare_ in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                grams = common.gram_hashes(np.array(hashes, np.int64).view(np.uint64), SEED)
-                holds = [any(rare_[k:k + SEED]) for k in range(len(grams))]
-                chosen = grams[np.array(holds, bool)] if any(holds) else grams
-                out.append((row, b" ".join(words_), len(words_), np.unique(chosen).view(np.int64).tolist()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
-                    pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())))], names=["row", "words", "n_words", "seeds"])
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            found = [np.unique(np.array(runs, np.int64)[seed_places(np.array(held), n, limit)]) for n, runs, held in zip(*columns[2:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))],
+                                             names=["row", "words", "n_words", "seeds"])
 
-    return common.stored(grouped.mapInArrow(seeds, ITEMS).join(rows.select("row", "item_id"), "row"), "benchmark-items")
+    return common.stored(chosen.mapInArrow(seeds, ITEMS).join(rows.select("row", "item_id"), "row"), "benchmark-items")
 
 
-def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64), (hashes & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+def _runs(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of a text's words; a text of fewer than ``SEED`` words is one run."""
+    return common.gram_hashes(hashes, min(SEED, max(len(hashes), 1)))
 
 
-def bit_map(seeds: DataFrame) -> np.ndarray:
-    """Both bits of every seed, packed; the driver receives at most 2 ** MAP_BITS / 64 rows."""
-    low = F.col("seed").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    high = F.shiftrightunsigned("seed", 64 - MAP_BITS)
-    rows = (seeds.select(F.explode(F.array(low, high)).alias("bit"))
-            .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas())
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+def seed_places(holders: np.ndarray, n_words: int, limit: int) -> np.ndarray:
+    """Which runs of an item, told by how many items hold each, are its seeds."""
+    chosen = holders <= limit
+    length = n_words - len(holders) + 1
+    covered = np.zeros(n_words, bool)
+    for k in range(length):
+        covered[k:k + len(holders)] |= chosen
+    if covered.sum() < COVERED * n_words:
+        for word in np.flatnonzero(~covered):
+            over = np.arange(max(0, word - length + 1), min(word, len(holders) - 1) + 1)
+            chosen[over[holders[over].argmin()]] = True
+    return np.flatnonzero(chosen)
 
 
 def passages(docs: DataFrame, packed: np.ndarray, reach: int) -> DataFrame:
@@ -104,21 +110,20 @@ def passages(docs: DataFrame, packed: np.ndarray, reach: int) -> DataFrame:
     schema = "doc_id long, first int, words binary, seeds array<long>"
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
-    def held(bits):
-        return (shared.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) == 1
-
     def run(batches):
         for ids, texts in common.chunks(batches):
             w = common.Words([plain(t) for t in texts])
             grams = common.gram_hashes(w.hashes, SEED)
-            high, low = _bits(grams)
-            at = np.flatnonzero(held(high))
-            at = at[held(low[at])]
+            at = np.flatnonzero(common.in_map(shared.value, grams))
             owner = np.searchsorted(w.ranges, at, side="right") - 1
             inside = at + SEED <= w.ranges[owner + 1]
             at, owner = at[inside], owner[inside]
             cut = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (np.diff(at) > reach))) if len(at) else np.zeros(0, np.int64)
             rows = []
+            for k in np.flatnonzero((np.diff(w.ranges) > 0) & (np.diff(w.ranges) < SEED)):
+                whole = _runs(w.hashes[w.ranges[k]:w.ranges[k + 1]])
+                if common.in_map(shared.value, whole).any():
+                    rows.append((ids[k], 0, b" ".join(plain(texts[k]).split()), whole.view(np.int64).tolist()))
             for k, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(at)))):
                 o = owner[a]
                 first, last = max(at[a] - reach, w.ranges[o]), min(at[b - 1] + SEED + reach, w.ranges[o + 1])
@@ -169,7 +174,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     ``score`` is the alignment score over the item's best possible one, at least
     ``threshold``; the place counts plain words. Null or empty texts hold nothing; rows of
     one id count as one document and give one row per item, the best; items of fewer
-    than three words match nothing. Each text of an ``item_id`` that occurs more than once is
+    than three words match only documents that consist of those words. Each text of an ``item_id`` that occurs more than once is
     an item of its own, reported under that id. Null ids are reported as null; so are items
     without an id, unless the same words have one.
     """
@@ -177,7 +182,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     table = item_table(items)
     seeds = table.select("row", F.explode("seeds").alias("seed"))
     reach = table.agg(F.max("n_words")).first()[0] or 1
-    found = passages(docs, bit_map(seeds.select("seed").distinct()), reach)
+    found = passages(docs, common.bit_map(seeds.select(F.col("seed").alias("hash")).distinct()), reach)
     found = common.stored(found.withColumn("passage", F.monotonically_increasing_id()), "benchmark-passages")
     met = (found.select("passage", F.explode("seeds").alias("seed")).join(seeds, "seed")
            .select("passage", "row").distinct())

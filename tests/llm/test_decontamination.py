@@ -92,3 +92,40 @@ def test_given_documents_equal_brute_force(spark):
             if sum(tuple(b[k:k + 3]) in grams for k in range(len(b) - 2)) >= 2 and dc.score(b, words, dc.THRESHOLD):
                 want.add((r.doc_id, item))
     assert {(r.doc_id, r.item_id) for r in dc.contaminated(docs, items).collect()} == want and want
+
+
+def test_items_of_common_words_and_short_items(spark, docs_of):
+    """Copies whose rare words all changed, and items shorter than a run; aligned pairs by brute force."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    items = []
+    for _ in range(60):
+        words = [rng.choice(common) for _ in range(24)]
+        for k in rng.sample(range(24), 4):
+            words[k] = f"rare{rng.randrange(10 ** 6)}"
+        items.append(words)
+    items += [["two", "words"], ["one"], list("abc") * 6]
+    docs = [" ".join(w if w.startswith("c") or rng.random() < 0.05 else "new" for w in b) for b in items]
+    docs[60:] = ["Two, words!", "one", " ".join("abc" * 6), "two words more", "one two", "words two", "abc"]
+    for b in items[:60]:
+        copy = list(b)
+        for k in rng.sample(range(24), rng.randrange(1, 7)):
+            copy[k] = "edit"
+        docs.append(" ".join(rng.choice(common) for _ in range(40)) + " " + " ".join(copy))
+    table = spark.createDataFrame([(k, " ".join(b)) for k, b in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in dc.contaminated(docs_of(docs), table).collect()}
+    want = {(d, i) for d, t in enumerate(docs) for i, b in enumerate(items)
+            if (len(b) >= dc.SEED or dc.plain(t.encode()).split() == [w.encode() for w in b])
+            and dc.score([w.encode() for w in b], dc.plain(t.encode()).split(), dc.THRESHOLD)}
+    assert found <= want and len(found) >= 0.97 * len(want) > 100
+    assert {(60, 60), (61, 61), (62, 62)} <= found and not {d for d, _ in found} & set(range(63, 67))
+
+
+def test_seed_places_cover_items_without_rare_runs():
+    few, many, limit = 1, 6, 5
+    assert dc.seed_places(np.array([few] * 8), 10, limit).tolist() == list(range(8))
+    assert dc.seed_places(np.array([many]), 2, limit).tolist() == [0]
+    held = np.array([many, many + 3, many + 1, many, many + 9, many + 9, many + 2, many])
+    covered = {w for p in dc.seed_places(held, 10, limit) for w in range(p, p + 3)}
+    assert covered == set(range(10))
+    assert dc.seed_places(np.array([few] * 6 + [many, many]), 10, limit).tolist() == list(range(6))
