@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tenetlog.functions import canonical as C, instants, jsontext
 from tenetlog.operators import admission, audit, freshness, integrity, intake, reads, seals, segments, signals, values
 from tenetlog.plans import mapsql as Q, sqltext as S
-from tenetlog.plans.registry import LATE, registry
+from tenetlog.plans.registry import END, LATE, registry
 from tenetlog.session import cut_lineage, scratch_path
 from tenetlog.sources import adapt, log as L, store
 from tenetlog.sources.store import LogStore
@@ -139,7 +139,7 @@ def support_arrays(spark, d):
  list_reduce(list(event_hash ORDER BY log_position), lambda a,x: sha256(a||x), '') AS view_version_hash FROM log GROUP BY belief_id"""))
 def belief_lineage(spark, d):
     """Hash lineage of every belief over the whole log."""
-    return values.lineage(cut_lineage(adapt.value_log(spark, d)), LATE)
+    return values.lineage(cut_lineage(adapt.value_log(spark, d)), END)
 
 
 _HEADS = """ SELECT belief_id, log_position, arg_max(value,{'i':occurred_us,'p':log_position}) OVER w AS current_value,
@@ -326,25 +326,33 @@ def corrupted_log_audit(spark, d):
 
 @registry.add("forged_chain_audit", W(R, """, h AS (SELECT max(log_position)//2 AS half FROM rows_)
  SELECT DISTINCT 'chain' AS "check", CAST((log_position-1)//64 AS VARCHAR) AS location, 'chain does not end in its recorded tip' AS message,
- half AS reached FROM rows_, h WHERE ((log_position-1)//64)%5=3 AND (log_position-1)//64>half//64"""))
+ half AS reached FROM rows_, h WHERE ((log_position-1)//64)%5=3"""))
 def forged_chain_audit(spark, d):
-    """Chains of the second append rewritten and hashed afresh: every link holds, the audit finds exactly those,
-    and publication stops before that append."""
+    """Chains rewritten and hashed afresh: every link holds. With those of the second append alone, publication stops
+    before that append; with those of the whole log, the audit finds exactly those."""
     log = cut_lineage(adapt.value_log(spark, d))
     half = log.agg(F.max("log_position")).first()[0] // 2
     kept = LogStore(spark, scratch_path(spark, "store"))
     for part in (log.where(F.col("log_position") <= half), log.where(F.col("log_position") > half)):
         kept.write_log(part)
-    changed = (F.col("chain_id") % 5 == 3) & (F.col("chain_id") > half // 64)
+    chosen, late = F.col("chain_id") % 5 == 3, F.col("chain_id") > half // 64
     twin = L.assign_in_chain(adapt.value_requests(spark, d).withColumn("source_class", F.lit("forged"))).select(*log.columns)
-    forged = kept.log().where(~changed).drop("recorded_us").unionByName(twin.where(changed)).withColumn(
-        "recorded_us", instants.instant_us(F.col("recorded_at")))
-    state = kept.manifest()
-    folder = kept.commits.new_folder("log")
-    forged.write.parquet(f"{kept.root}/{folder}")
-    folders = {**state.folders, "log": [folder]}
-    kept.commits.commit(replace(state, number=state.number + 1, folders=folders))
-    reached = kept.publish(LATE, "0")
+
+    def written(rows):
+        folder = kept.commits.new_folder("log")
+        rows.withColumn("recorded_us", instants.instant_us(F.col("recorded_at"))).write.parquet(f"{kept.root}/{folder}")
+        return folder
+
+    def commit(folders):
+        state = kept.manifest()
+        kept.commits.commit(replace(state, number=state.number + 1, folders={**state.folders, "log": folders}))
+
+    first = kept.manifest().folders["log"][0]
+    between = written(log.where(~late & (F.col("log_position") > half)))    # the chain that both appends reach
+    second = written(log.where(late & ~chosen).unionByName(twin.where(late & chosen)))
+    commit([first, between, second])
+    reached = kept.publish(END, "0")
+    commit([written(log.where(~late & ~chosen).unionByName(twin.where(~late & chosen))), second])
     return audit.log_audit(kept.audit_tables("0")).select("check", "location", "message", F.lit(reached).cast("long").alias("reached"))
 
 
@@ -405,8 +413,8 @@ def verified_publication(spark, d):
     damaged = F.col("log_position") == middle
     kept = LogStore(spark, scratch_path(spark, "store"))
     kept.write_log(log.withColumn("source_class", F.when(damaged, "changed").otherwise(F.col("source_class"))))
-    reached = kept.publish(LATE, "0")
-    return kept.pending_violations(LATE, "0").select(F.lit(reached).cast("long").alias("reached"), "log_position", "check", "message")
+    reached = kept.publish(END, "0")
+    return kept.pending_violations(END, "0").select(F.lit(reached).cast("long").alias("reached"), "log_position", "check", "message")
 
 
 @registry.add("stepped_back_times", W(R, " SELECT 'recorded_at' AS \"check\", event_id AS location FROM rows_ WHERE log_position%199=7"))
@@ -448,7 +456,7 @@ def published_overview(spark, d):
     """A store's event count and the projectors that have published from it."""
     kept = LogStore(spark, scratch_path(spark, "store"))
     kept.write_log(adapt.value_log(spark, d))
-    reached = kept.publish(LATE, "0", verify=False)
+    reached = kept.publish(END, "0", verify=False)
     return kept.overview().select("event_count", F.array_join("projector_versions", ",").alias("projectors"), F.lit(reached).cast("long").alias("reached"))
 
 
@@ -523,7 +531,7 @@ def value_status(spark, d):
     log = _rows(spark, d).withColumn("event_hash", F.lit(""))
     prefix, progress = _published_half(log)
     names = values.value_events(log).select("belief_id")
-    return freshness.value_status(log, values.fold(prefix, LATE), progress, names).select(
+    return freshness.value_status(log, values.fold(prefix, END), progress, names).select(
         "belief_id", "present", "latest_position", "stale", "freshness_state")
 
 
@@ -534,7 +542,7 @@ def projection_status(spark, d):
     """Applied progress of a half-published view against the log tip."""
     log = _rows(spark, d).withColumn("event_hash", F.lit(""))
     prefix, progress = _published_half(log)
-    return freshness.projection_status(log, progress, values.fold(prefix, LATE), "0")
+    return freshness.projection_status(log, progress, values.fold(prefix, END), "0")
 
 
 @registry.add("staleness_truth", W(R, """, s AS (SELECT log_position, CASE WHEN n%3=0 THEN NULL ELSE n%7 END AS applied,
@@ -567,7 +575,7 @@ def incremental_equals_replay(spark, d):
  FROM f WHERE substr(sha256(belief_id),1,1) IN ('0','1')"""))
 def stored_view_differences(spark, d):
     """A stored view with lost and changed rows against its log."""
-    view = values.fold(_rows(spark, d), LATE).drop("undecided")
+    view = values.fold(_rows(spark, d), END).drop("undecided")
     digit = F.substring(F.sha2("belief_id", 256), 1, 1)
     stored = view.where(digit != "0").withColumn("current_value", F.when(digit == "1", "tampered").otherwise(F.col("current_value")))
     return reads.differences(view, stored, "belief_id").select("location", "message")
@@ -577,7 +585,7 @@ def stored_view_differences(spark, d):
 def dangling_references(spark, d):
     """Support members that name events the log does not have."""
     log = _rows(spark, d)
-    members = values.support(log, LATE).withColumn("event_id", F.when(
+    members = values.support(log, END).withColumn("event_id", F.when(
         (F.col("log_position") - 1) % 113 == 9, F.concat(F.lit("gone-"), "event_id")).otherwise(F.col("event_id")))
     holder = audit.Store(log, log, log.select("log_position", "event_id").limit(0))
     return audit.missing_references(holder, members).select("location")

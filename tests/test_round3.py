@@ -21,8 +21,14 @@ def _equal(spark, sf, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["snapshot_sizes"])
+@pytest.mark.parametrize("name", ["snapshot_sizes", "published_overview"])
 def test_cutoffs_lie_behind_long_logs(spark, sf, monkeypatch, name):
     """A log of many events goes on for months; a fixed date cut it off."""
     monkeypatch.setattr(adapt, "START", "2024-12-01 00:00:00")
     _equal(spark, sf, name)
+
+
+def test_forged_chains_of_the_whole_log(spark, sf):
+    rows = _equal(spark, sf, "forged_chain_audit")
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert len(rows) == len(range(3, (events - 1) // 64 + 1, 5))
