@@ -1,8 +1,12 @@
 """Faults that the third round's review named."""
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tenetlog.operators import commitment as M
+from tenetlog.session import cut_lineage
 from tenetlog.sources import adapt
 
 
@@ -32,3 +36,46 @@ def test_forged_chains_of_the_whole_log(spark, sf):
     rows = _equal(spark, sf, "forged_chain_audit")
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     assert len(rows) == len(range(3, (events - 1) // 64 + 1, 5))
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_commitments_move_once_by_mention_and_once_by_belief(spark, sf):
+    """Claims once moved with long texts, for each map, version and chain anew."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        log = cut_lineage(adapt.identity_log(spark, sf))
+        for made, most in ((M.full_lineage(log), 3), (M.belief_versions(log), 4), (M.collection_roots(log), 4)):
+            assert _shuffles(made) <= most
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_and_small_beliefs_have_the_same_versions(spark, sf):
+    log = cut_lineage(adapt.transition_log(spark, sf).where("log_position <= 600"))
+    names = ["belief_id", "log_position", "result_root", "view_version_hash"]
+    small, large = (sorted(map(tuple, M.belief_versions(log, "3", bucket=b).select(*names).collect())) for b in (4096, 2))
+    assert small == large and small
+
+
+def test_upper_levels_of_a_map_are_asked_once_for_each_child(spark, monkeypatch):
+    """All routes were asked in the one group at the root."""
+    plain = M._prove_udf
+
+    def guarded(namespace):
+        inner = plain(namespace).func
+
+        @F.pandas_udf(f"array<{M._STEP}>")
+        def prove(routes: pd.Series, digests: pd.Series, asked: pd.Series) -> pd.Series:
+            assert max(map(len, asked)) <= 64
+            return inner(routes, digests, asked)
+        return prove
+
+    monkeypatch.setattr(M, "_prove_udf", guarded)
+    keys = spark.range(1500).select(F.lit("s").alias("s"), F.concat(F.lit("k"), "id").alias("key"))
+    leaves = cut_lineage(M.with_leaf(keys, F.col("key"), F.lit("1")))
+    rows = M.proofs(leaves, leaves, ["s"], bucket=8).join(M.map_roots(leaves, ["s"]), "s")
+    assert M.verify_proofs(rows).where("valid").count() == 1500
