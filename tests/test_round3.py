@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tenetlog.operators import commitment as M
+from tenetlog.operators import commitment as M, identity
 from tenetlog.session import cut_lineage
 from tenetlog.sources import adapt
 
@@ -79,3 +79,21 @@ def test_upper_levels_of_a_map_are_asked_once_for_each_child(spark, monkeypatch)
     leaves = cut_lineage(M.with_leaf(keys, F.col("key"), F.lit("1")))
     rows = M.proofs(leaves, leaves, ["s"], bucket=8).join(M.map_roots(leaves, ["s"]), "s")
     assert M.verify_proofs(rows).where("valid").count() == 1500
+
+
+def _moved(node):
+    names = {node.output().apply(i).name() for i in range(node.output().size())} if node.nodeName() == "Exchange" else set()
+    return names.union(*(_moved(node.children().apply(i)) for i in range(node.children().size())))
+
+
+def test_admission_moves_ids_and_no_texts(spark, sf):
+    """Whole requests and claims once moved for each of their checks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = adapt.identity_requests(spark, sf).withColumn("event_hash", F.lit("")).withColumn("alive", F.lit(True))
+        found = identity.event_violations(cut_lineage(rows), "1")
+        names = _moved(found._jdf.queryExecution().executedPlan().initialPlan())
+        assert "mention_id" in names and not names & {"claim_json", "ciphertext", "value_json", "source"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
