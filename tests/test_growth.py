@@ -2,8 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tenetlog.functions import literals
-from tenetlog.operators import integrity, values
+from tenetlog.operators import values
 from tenetlog.session import cut_lineage
 from tenetlog.sources import adapt, log as L, store
 from tenetlog.sources.store import LogStore
@@ -36,3 +35,15 @@ def test_chains_go_on_from_their_tips(log):
     tips = L.chain_tips(log.where("log_position <= 100")).where("chain_id = 1").select("chain_id", F.col("tip_hash").alias("seed"))
     late = L.assign(_requests(log.where("log_position > 100")), tips=tips)
     assert sorted(map(tuple, late.select("log_position", "prev_event_hash", "event_hash").collect())) == whole[100:]
+
+
+def test_a_submit_numbers_and_admits_its_rows_once(spark, log, tmp_path, monkeypatch):
+    """The rows to append were numbered and judged anew for each of their hashes."""
+    monkeypatch.setattr(LogStore, "appends", lambda self, state, rows: iter([rows]))
+    kept = LogStore(spark, str(tmp_path / "store"))
+    requests = _requests(log).withColumnRenamed("log_position", "order").drop("recorded_at")
+    _, (rows,) = kept.submission(requests, "2024-03-01T00:00:00Z", "0")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number") == 1 and "Python" not in plan
+    assert rows.count() == rows.select("log_position").distinct().count()
+
