@@ -1,9 +1,11 @@
 """Steps whose time or memory grew too fast with the log."""
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tenetlog.operators import values
-from tenetlog.session import cut_lineage
+from tenetlog.operators.segments import dense_positions
+from tenetlog.session import configure, cut_lineage
 from tenetlog.sources import adapt, log as L, store
 from tenetlog.sources.store import LogStore
 
@@ -47,3 +49,12 @@ def test_a_submit_numbers_and_admits_its_rows_once(spark, log, tmp_path, monkeyp
     assert plan.count("Window [row_number") == 1 and "Python" not in plan
     assert rows.count() == rows.select("log_position").distinct().count()
 
+def test_python_gets_whole_texts_in_small_batches(spark):
+    """10,000 documents at a time once stood in a Python worker."""
+    configure(spark)
+
+    @F.pandas_udf("long")
+    def rows(texts: pd.Series) -> pd.Series:
+        return texts * 0 + len(texts)
+
+    assert spark.range(3000).coalesce(1).agg(F.max(rows("id"))).first()[0] <= 500
