@@ -58,3 +58,16 @@ def test_python_gets_whole_texts_in_small_batches(spark):
         return texts * 0 + len(texts)
 
     assert spark.range(3000).coalesce(1).agg(F.max(rows("id"))).first()[0] <= 500
+
+
+def test_positions_are_dealt_to_many_tasks(spark):
+    """65,536 whole rows of neighbouring positions once met in one task."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed = dense_positions(spark.range(0, 120_000, 2).withColumnRenamed("id", "order"), "order", start=5)
+        most = placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        wrong = placed.where(F.col("log_position") != F.col("order") / 2 + 6).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert most <= 20_000 and wrong == 0
