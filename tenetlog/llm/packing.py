@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,12 @@ class Encoder:
             return head + b"".join(map(known.__getitem__, units[1:]))
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(tokenizer_json: str, pattern: str) -> Encoder:
+    """One encoder for all tasks of a Python worker: its units are encoded once, not once a task."""
+    return Encoder(tokenizer_json, pattern)
+
+
 def _byte_characters() -> dict[int, str]:
     """The printable stand-in of every byte in byte-level vocabularies: visible Latin-1 stays, the rest moves up."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -154,7 +161,7 @@ def pack_table(docs: DataFrame, tokenizer_path: str, pattern: str, limits=(TOKEN
         vocabulary = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))   # bounded by the vocabulary file
 
     def run(batches):
-        encoder = Encoder(*vocabulary.value)
+        encoder = worker_encoder(*vocabulary.value)
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 32
         carry = Carry(limits)

@@ -60,3 +60,10 @@ def test_every_limit_holds(limits):
         used[sequence] += (length, 1, loss)
     assert all((u <= limits).all() for u in used.values())
     assert sum(p[2] for p in pieces) == sum(lengths)
+
+
+def test_tasks_of_a_worker_share_one_encoder(docs_of):
+    """Each task once read the vocabulary and encoded every unit anew."""
+    tokenizer_json, pattern = open(tokenizer_file()[0], encoding="utf-8").read(), tokenizer_file()[1]
+    assert packing.worker_encoder(tokenizer_json, pattern) is packing.worker_encoder(tokenizer_json, pattern)
+    assert check(packing.pack_table(docs_of(TEXTS * 4).repartition(16), tokenizer_file()[0], pattern).collect(), TEXTS * 4) == 0
