@@ -97,3 +97,24 @@ def test_admission_moves_ids_and_no_texts(spark, sf):
         assert "mention_id" in names and not names & {"claim_json", "ciphertext", "value_json", "source"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("made, projector", [(adapt.identity_log, "2"), (adapt.transition_log, "3")])
+def test_sizes_count_the_members_that_are_committed(spark, sf, made, projector):
+    """Also where claims come again, name a mention that is not there, or an event states no claim."""
+    log = made(spark, sf).where("log_position % 7 <> 3 or log_position > 150")
+    again = log.where("log_position % 5 = 0").withColumn("log_position", F.col("log_position") + 1_000_000)
+    empty = log.where("log_position % 11 = 0 and event_type = 'observation_recorded'").withColumn("ciphertext", F.lit('{"claims":[]}'))
+    log = cut_lineage(log.unionByName(again).unionByName(empty))
+    keys = ["belief_id", "kind"]
+    want = M.latest_members(M.collection_members(log, projector), keys).groupBy(*keys).count()
+    got = sorted(map(repr, map(tuple, M.collection_sizes(log, projector).collect())))
+    assert got == sorted(map(repr, map(tuple, want.collect()))) and got
+
+
+def test_collection_sizes_hash_no_claims(spark, sf):
+    """Sizes once took a hashed log on disk and two digests of each member's whole text."""
+    made = entry.queries()["collection_sizes"](spark, sf)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "cut-" not in plan
+    assert not any("/cut-" in f for f in made.inputFiles())
