@@ -1,13 +1,15 @@
 """Faults that the third round's review named."""
+import json
+
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tenetlog.operators import commitment as M, identity
+from tenetlog.operators import admission, commitment as M, identity, keyindex
 from tenetlog.session import cut_lineage
-from tenetlog.sources import adapt
+from tenetlog.sources import adapt, store
 
 
 def _wanted(sf, name):
@@ -118,3 +120,45 @@ def test_collection_sizes_hash_no_claims(spark, sf):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 1 and "cut-" not in plan
     assert not any("/cut-" in f for f in made.inputFiles())
+
+
+def _stated(row):
+    """(kind, id) pairs of a stored event, read in Python."""
+    yield "event_id", row.event_id
+    yield "idempotency_key", row.idempotency_key
+    said = json.loads(row.ciphertext)
+    claims = said.get("claims", []) if row.event_type == "observation_recorded" else [said["claim"]] if "claim" in said else []
+    if row.event_type == "entity_mention_recorded":
+        yield from (("mention_id", said["mention_id"]), ("subject_id", said["subject_id"]))
+    for claim in claims:
+        yield from (("claim_candidate_id", claim["claim_candidate_id"]), ("belief_id", claim["belief_id"]),
+                    ("pair", json.dumps([claim["subject_id"], claim["property_id"]], separators=(",", ":"))))
+    for target in said.get("targets", []):
+        yield "target", target
+
+
+def test_an_index_names_the_first_owner_of_each_id(spark, sf):
+    """Also of events that come twice; a bucket holds an ID once, in order."""
+    values = adapt.value_log(spark, sf).where("log_position <= 300").withColumn("log_position", F.col("log_position") + 100_000)
+    log = adapt.transition_log(spark, sf).where("log_position <= 700").unionByName(values)
+    log = cut_lineage(log.unionByName(log.where("log_position % 9 = 0").withColumn("log_position", F.col("log_position") + 200_000)))
+    meant = {r[0]: r[1] for r in log.select("log_position", admission.semantic_hash()).collect()}
+    want = {}
+    for row in log.orderBy("log_position").collect():
+        for key in _stated(row):
+            want.setdefault(key, (row.log_position, meant[row.log_position]))
+    made = keyindex.in_buckets(keyindex.of_append(log, 7))
+    rows = made.where(F.col("kind") != keyindex.HEAD).collect()
+    assert {(r.kind, r.id): (r.log_position, r.semantic) for r in rows} == want and len(rows) == len(want)
+    assert {k for k, _ in want} >= {"mention_id", "claim_candidate_id", "pair", "target"}
+    heads = made.where(F.col("kind") == keyindex.HEAD)
+    assert 0 < heads.count() == heads.select("id").distinct().count() and not heads.where("semantic is not null or us is null").count()
+
+
+def test_keys_and_values_of_an_append_are_read_once(spark, sf):
+    """An index scanned the log ten times and joined it with itself; a publication parsed each payload five times."""
+    log = cut_lineage(adapt.value_log(spark, sf))
+    plan = keyindex.of_append(log, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 5 and "Join" not in plan
+    for changed in store.value_changes({}, log, "2030-01-01T00:00:00Z").values():
+        assert "from_json(" not in changed._jdf.queryExecution().optimizedPlan().toString()
