@@ -1,5 +1,6 @@
 """Faults that the third round's review named."""
 import json
+import os
 
 import duckdb
 import pandas as pd
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tenetlog.operators import admission, commitment as M, identity, keyindex
-from tenetlog.session import cut_lineage
+from tenetlog.session import checkpoint_root, cut_lineage
 from tenetlog.sources import adapt, store
 
 
@@ -162,3 +163,12 @@ def test_keys_and_values_of_an_append_are_read_once(spark, sf):
     assert plan.count("Relation [") <= 5 and "Join" not in plan
     for changed in store.value_changes({}, log, "2030-01-01T00:00:00Z").values():
         assert "from_json(" not in changed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_texts_are_written_once(spark, sf):
+    """Admission once wrote whole requests anew in every round."""
+    root = checkpoint_root(spark)
+    before = set(os.listdir(root))
+    assert entry.queries()["long_text_mentions"](spark, sf).where("status = 'accepted' and problems = 0").count() == 200
+    written = [spark.read.parquet(f"{root}/{f}").columns for f in sorted(set(os.listdir(root)) - before) if f.startswith("cut-")]
+    assert sum("ciphertext" in columns for columns in written) == 1
