@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 from tenetlog.operators import admission, identity
 from tenetlog.session import cut_lineage
 from tenetlog.sources import adapt
+from tenetlog.sources.store import LogStore
 
 
 @pytest.mark.parametrize("name", ["identity_admission", "transition_admission", "association_refusals"])
@@ -26,3 +27,11 @@ def test_an_event_id_is_free_again_after_a_refusal_for_its_references(spark, sf)
     verdicts = admission.admit(cut_lineage(rows.where(~first).unionByName(bad).unionByName(good)), "1")
     got = {r.log_position: r.status for r in verdicts.where("log_position in (160, 1000)").collect()}
     assert got == {160: "refused", 1000: "accepted"}
+
+
+def test_stores_keep_digests_in_half_the_room(spark, sf, tmp_path):
+    """Hex digits went to disk as they are, twice the size of what they say."""
+    log = cut_lineage(adapt.value_log(spark, sf))
+    LogStore(spark, str(tmp_path / "store")).write_log(log)
+    size = sum(f.stat().st_size for f in (tmp_path / "store" / "log").rglob("*.parquet"))
+    assert size < 220 * log.count()      # four digests of 32 bytes each in a row
