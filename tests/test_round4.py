@@ -1,10 +1,12 @@
 """Faults that the fourth round's review named."""
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tenetlog.operators import admission, identity
-from tenetlog.session import cut_lineage
+from tenetlog.session import checkpoint_root, cut_lineage
 from tenetlog.sources import adapt
 from tenetlog.sources.store import LogStore
 
@@ -35,3 +37,11 @@ def test_stores_keep_digests_in_half_the_room(spark, sf, tmp_path):
     LogStore(spark, str(tmp_path / "store")).write_log(log)
     size = sum(f.stat().st_size for f in (tmp_path / "store" / "log").rglob("*.parquet"))
     assert size < 220 * log.count()      # four digests of 32 bytes each in a row
+
+
+def test_two_projectors_publish_from_one_log(spark, sf):
+    """The same log was written and indexed for each projector, and once more before."""
+    root = checkpoint_root(spark)
+    before = set(os.listdir(root))
+    assert entry.queries()["unsupported_publication"](spark, sf).count() == 2
+    assert sum(f.startswith("store-") for f in set(os.listdir(root)) - before) == 1
