@@ -25,12 +25,14 @@ MENTION_SHAPE = (r'^\{"link_state":' + _TEXT + r',"mention_id":' + _TEXT + r',"s
                  + r',"text":' + _TEXT + r"\}$")
 CLAIM_FIELDS = ("belief_id", "claim_candidate_id", "mention_id", "property_id", "subject_id", "verifiability")
 _CLAIM_TYPE = ", ".join(f"{f} string" for f in CLAIM_FIELDS)
+# The JSON reader refuses texts of more than 20,000,000 characters unless it is told otherwise.
+WHOLE_TEXTS = {"maxStringLen": str(2**31 - 1)}
 CLAIM_EVENTS = (OBSERVATION, CORRECTION, REPLACEMENT)
 
 
 def mentions(log: DataFrame) -> DataFrame:
     """Mention events with their parsed payload; one row gives entity, mention and link."""
-    parsed = F.from_json("ciphertext", "mention_id string, subject_id string, text string, link_state string")
+    parsed = F.from_json("ciphertext", "mention_id string, subject_id string, text string, link_state string", WHOLE_TEXTS)
     return (log.where(F.col("event_type") == MENTION).withColumn("_m", parsed)
             .select("*", "_m.mention_id", "_m.subject_id", "_m.text", "_m.link_state").drop("_m"))
 

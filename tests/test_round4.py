@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tenetlog.operators import admission, identity
 from tenetlog.session import checkpoint_root, cut_lineage
-from tenetlog.sources import adapt
+from tenetlog.sources import adapt, log as L
 from tenetlog.sources.store import LogStore
 
 
@@ -45,3 +45,12 @@ def test_two_projectors_publish_from_one_log(spark, sf):
     before = set(os.listdir(root))
     assert entry.queries()["unsupported_publication"](spark, sf).count() == 2
     assert sum(f.startswith("store-") for f in set(os.listdir(root)) - before) == 1
+
+
+def test_texts_of_any_length_are_read(spark):
+    """Texts of more than 20,000,000 characters were read as if the mention had no fields."""
+    docs = spark.range(2).select(F.concat(F.lit("m-"), F.col("id")).alias("mention_id"), F.concat(F.lit("d-"), F.col("id")).alias("subject_id"),
+                                 F.repeat(F.lit("word "), F.when(F.col("id") == 0, 3).otherwise(4_100_000).cast("int")).alias("text"))
+    made = L.prepare_mentions(docs, actor_id=F.lit("reader"), source_class=F.lit("corpus"), occurred_at=F.lit("2024-04-01T00:00:00Z"),
+                              event_id=F.col("mention_id"))
+    assert sorted(r.n for r in identity.mentions(made.drop("mention_id", "subject_id", "text")).select(F.length("text").alias("n")).collect()) == [15, 20_500_000]
