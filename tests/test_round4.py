@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tenetlog.operators import admission, identity
+from tenetlog.operators import admission, commitment as M, identity
 from tenetlog.session import checkpoint_root, cut_lineage
 from tenetlog.sources import adapt, log as L
 from tenetlog.sources.store import LogStore
@@ -39,6 +39,21 @@ def test_stores_keep_digests_in_half_the_room(spark, sf, tmp_path):
     assert size < 220 * log.count()      # four digests of 32 bytes each in a row
 
 
+def _shuffle_columns(node, found):
+    if node.nodeName() == "Exchange":
+        found.append(node.schema().simpleString())
+    for i in range(node.children().size()):
+        _shuffle_columns(node.children().apply(i), found)
+    return found
+
+
+def test_members_move_with_keys_instead_of_their_routes(spark, sf):
+    """A leaf's route is a digest of its key; three went along with each claim where the key does."""
+    made = M.timed_members(cut_lineage(adapt.identity_log(spark, sf)))
+    moved = [s for s in _shuffle_columns(made._jdf.queryExecution().executedPlan().initialPlan(), []) if "_candidate" in s]
+    assert len(moved) == 1 and moved[0].count("route") == 1
+
+
 def test_two_projectors_publish_from_one_log(spark, sf):
     """The same log was written and indexed for each projector, and once more before."""
     root = checkpoint_root(spark)
